@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import minhash_dedup
+from strataleaf.llm import minhash_dedup, quality_divergence
 from strataleaf.llm.common import table
 
 
@@ -14,11 +14,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_divergence.decisions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op6_quality_divergence": op6_quality_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_divergence": quality_divergence.SQL,
+    }
