@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import minhash_dedup, quality_divergence
+from strataleaf.llm import minhash_dedup, mixing, quality_divergence
 from strataleaf.llm.common import table
 
 
@@ -18,14 +18,20 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.decisions(table(spark, sf_dir, "documents"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op6_quality_divergence": op6_quality_divergence,
+        "op8_mix_sources": op8_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_divergence": quality_divergence.SQL,
+        "op8_mix_sources": mixing.SQL,
     }
