@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import minhash_dedup, mixing, quality_divergence
+from strataleaf.llm import minhash_dedup, mixing, packing, quality_divergence, url_filter
 from strataleaf.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.sql(url_filter.LIST_SQL.replace("FROM pages", "FROM {pages}"), pages=pages)
+    return url_filter.marked(pages, listed).select("page_id", "canonical_url", "listed")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,16 +28,23 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op6_quality_divergence": op6_quality_divergence,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_mix_sources": op8_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.SQL,
         "op6_quality_divergence": quality_divergence.SQL,
         "op8_mix_sources": mixing.SQL,
     }
