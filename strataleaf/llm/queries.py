@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import minhash_dedup, mixing, packing, quality_divergence, url_filter
+from strataleaf.llm import license_scan, minhash_dedup, mixing, packing, quality_divergence, secret_scan, url_filter
 from strataleaf.llm.common import table
 
 
@@ -16,10 +16,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.marked(pages, listed).select("page_id", "canonical_url", "listed")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.decisions(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_license_scan": op2_license_scan,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op5_secret_scan": op5_secret_scan,
         "op6_quality_divergence": op6_quality_divergence,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_mix_sources": op8_mix_sources,
@@ -45,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.SQL,
+        "op2_license_scan": license_scan.sql(),
         "op6_quality_divergence": quality_divergence.SQL,
         "op8_mix_sources": mixing.SQL,
     }
