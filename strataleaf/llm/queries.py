@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import license_scan, minhash_dedup, mixing, packing, quality_divergence, secret_scan, url_filter
+from strataleaf.llm import chat_format, license_scan, minhash_dedup, mixing, packing, quality_divergence, secret_scan, url_filter, warc_derive
 from strataleaf.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -40,15 +44,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derived(warc_derive.responses(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_license_scan": op2_license_scan,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_chat_format": op4_chat_format,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_divergence": op6_quality_divergence,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_mix_sources": op8_mix_sources,
+        "op10_warc_derive": op10_warc_derive,
     }
 
 
@@ -58,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.sql(),
         "op6_quality_divergence": quality_divergence.SQL,
         "op8_mix_sources": mixing.SQL,
+        "op10_warc_derive": warc_derive.sql(),
     }
