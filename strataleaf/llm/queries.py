@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import chat_format, license_scan, minhash_dedup, mixing, packing, quality_divergence, secret_scan, url_filter, warc_derive
+from strataleaf.llm import chat_format, jpeg_media, license_scan, minhash_dedup, mixing, packing, quality_divergence, secret_scan, url_filter, warc_derive
 from strataleaf.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = jpeg_media.from_embeddings(table(spark, sf_dir, "embeddings"))
+    return jpeg_media.decoded(media, "vec_id")
+
+
 def op10_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derive.derived(warc_derive.responses(table(spark, sf_dir, "pages")))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_divergence": op6_quality_divergence,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_mix_sources": op8_mix_sources,
+        "op9_jpeg_media": op9_jpeg_media,
         "op10_warc_derive": op10_warc_derive,
     }
 
@@ -68,5 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.sql(),
         "op6_quality_divergence": quality_divergence.SQL,
         "op8_mix_sources": mixing.SQL,
+        "op9_jpeg_media": op9_jpeg_media,
         "op10_warc_derive": warc_derive.sql(),
     }
