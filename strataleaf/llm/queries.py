@@ -74,6 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.sql(),
         "op6_quality_divergence": quality_divergence.SQL,
         "op8_mix_sources": mixing.SQL,
-        "op9_jpeg_media": op9_jpeg_media,
         "op10_warc_derive": warc_derive.sql(),
     }
