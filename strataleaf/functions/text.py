@@ -14,23 +14,32 @@ from pyspark.sql import functions as F
 #: What JavaScript counts as white space, as the inside of a character class.
 JS_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
-COMMENT = r"<!--[\s\S]*?-->"
-STYLE_BLOCK = r"(?i)<style\b[^>]*>[\s\S]*?</style>"
-SCRIPT_BLOCK = r"(?i)<script\b[^>]*>[\s\S]*?</script>"
-SCRIPT_BODY = r"(?i)<script\b[^>]*>([\s\S]*?)</script>"
+COMMENT = r"(?s)<!--.*?-->"
+STYLE_BLOCK = r"(?is)<style\b[^>]*>.*?</style>"
+SCRIPT_BLOCK = r"(?is)<script\b[^>]*>.*?</script>"
+SCRIPT_BODY = r"(?is)<script\b[^>]*>(.*?)</script>"
 SCRIPT_TAG = r"(?i)</?script[^>]*>"
 BR_TAG = r"(?i)</?br>"
-BINDING = r":\[([\s\S]*?)\]"
+BINDING = r"(?s):\[(.*?)\]"
 PROPERTY = rf"[{JS_SPACE}][.:@]([a-zA-Z]*=)"
-IMAGE = r"(?i)<img[^>][\s\S]*? [^/]>"
-TEMPLATE = r"(?i)(<template[^\n\r\x{2028}\x{2029}]*>)([\s\S]*)(</template>)"
+IMAGE = r"(?is)<img[^>].*? [^/]>"
+TEMPLATE = r"(?i)(<template[^\n\r\x{2028}\x{2029}]*>)((?s:.*))(</template>)"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it: chains of steps stay linear in size."""
+    return F.transform(F.array(value), f)[0]
 
 
 def replace_each(text: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
     """Every match of pattern replaced by f(match): the gaps and the mapped matches, zipped."""
-    gaps = F.split(text, pattern, -1)
-    mapped = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), f)
-    return F.array_join(F.zip_with(gaps, mapped, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    def zipped(t: Column) -> Column:
+        gaps = F.split(t, pattern, -1)
+        mapped = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), f)
+        return F.array_join(F.zip_with(gaps, mapped, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    return let(text, zipped)
 
 
 def utf16_length(text: Column) -> Column:
@@ -81,7 +90,11 @@ def clean_component(text: Column, include_scripts: bool = True) -> Column:
     """A single-file component made parseable, with every offset kept: comments and styles masked, script
     tags (or whole scripts) masked, line breaks closed, bindings and prop prefixes blanked, images
     closed, and moustaches inside the outermost template opened."""
-    c = mask_styles(mask_comments(text))
+    return _cleaned(mask_styles(mask_comments(text)), include_scripts)
+
+
+def _cleaned(c: Column, include_scripts: bool) -> Column:
+    """The steps after comments and styles."""
     c = mask_script_tags(c) if include_scripts else mask_script_blocks(c)
     c = F.regexp_replace(mask_br(c), BINDING, "  $1 ")
     c = F.regexp_replace(c, PROPERTY, "  $1")
@@ -129,17 +142,22 @@ def virtual_source(text: Column) -> Column:
 
 def parse_candidates(text: Column) -> Column:
     """An array of struct(pos, name, code): what a parser should try, in order; blank ones and repeats left out."""
-    full, template, script = clean_component(text), clean_component(text, False), script_content(text)
-    combined = F.when(script != "", F.concat(script, F.lit("\n"), template)).otherwise(template)
-    named = [("full", full), ("combined", combined), ("template-only", template), ("script-only", script)]
-    all_ = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), c.alias("code")) for i, (n, c) in enumerate(named)])
-    return distinct_candidates(all_)
+    named = ("full", "combined", "template-only", "script-only")
+
+    def build(bare: Column) -> Column:
+        return let(_cleaned(bare, False), lambda template: let(script_content(text), lambda script: tries(_cleaned(bare, True), template, script)))
+
+    def tries(full: Column, template: Column, script: Column) -> Column:
+        combined = F.when(script != "", F.concat(script, F.lit("\n"), template)).otherwise(template)
+        return F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("name"), c.alias("code")) for i, (n, c) in enumerate(zip(named, (full, combined, template, script), strict=True))])
+
+    return distinct_candidates(let(mask_styles(mask_comments(text)), build))
 
 
 def distinct_candidates(candidates: Column) -> Column:
     """Without blank codes, and of equal codes the first."""
     inked = F.filter(candidates, lambda c: has_ink(c["code"]))
-    return F.filter(inked, lambda c: ~F.exists(inked, lambda o: (o["code"] == c["code"]) & (o["pos"] < c["pos"])))
+    return let(inked, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: (o["code"] == c["code"]) & (o["pos"] < c["pos"]))))
 
 
 def nth_index(text: Column, needle: str, occurrence: int = 0) -> Column:

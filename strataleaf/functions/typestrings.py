@@ -105,7 +105,7 @@ def union_type(types: Column) -> Column:
 
 
 _EXTENSION = re.compile(r"(\.d)?\.([cm]?[jt]s|[jt]sx)$")
-_IMPORT = re.compile(r'import\("([^"]+)"(?:,\s*\{\s*with:\s*\{\s*"resolution-mode":\s*"import"\s*\}\s*\})?\)')
+_IMPORT = re.compile(r'import\("(?P<spec>[^"]+)"(?P<mode>,[^)]*resolution-mode[^)]*)?\)')
 
 
 def imported_specifier(specifier: str, current: str | None) -> str:
@@ -121,7 +121,7 @@ def imported_specifier(specifier: str, current: str | None) -> str:
 
 def normal_type(t: str | None, current: str | None) -> str | None:
     """t with every import() normalised and resolution modes dropped."""
-    return t and _IMPORT.sub(lambda m: f'import("{imported_specifier(m[1], current)}")', t)
+    return t and _IMPORT.sub(lambda m: f'import("{imported_specifier(m["spec"], current)}")', t)
 
 
 @F.pandas_udf(StringType())

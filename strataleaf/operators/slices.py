@@ -50,7 +50,7 @@ def signature_types(line: Column) -> Column:
     """The types of the last signature on a line that count: longer than three and not of the standard library."""
     inside = F.substring_index(F.substring_index(line, " Signature(", -1), ") ", 1)
     bare = F.replace(F.replace(inside, F.lit("List("), F.lit("")), F.lit(")"), F.lit(""))
-    names = F.transform(F.split(bare, ","), F.trim)
+    names = F.transform(F.split(bare, ","), lambda t: F.trim(t))
     return F.filter(names, lambda t: (F.length(t) > 3) & ~t.rlike(r"^(java|javax\.inject|scala)\."))
 
 
@@ -58,11 +58,14 @@ def tags_of(types: Column) -> Column:
     """The tags that an array of types earns, sorted."""
     earned = []
     for tag, prefixes in sorted(TAG_RULES.items()):
-        hit = lambda t, ps=prefixes: _starts(t, ps)
-        earned.append(F.when(F.exists(types, hit), F.array(F.lit(tag))).otherwise(F.array().cast("array<string>")))
+        earned.append(F.when(_any_starts(types, prefixes), F.array(F.lit(tag))).otherwise(F.array().cast("array<string>")))
     return F.concat(*earned)
 
 
+def _any_starts(types: Column, prefixes: tuple[str, ...]) -> Column:
+    return F.exists(types, lambda t: _starts(t, prefixes))
+
+
 def _starts(t: Column, prefixes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in prefixes:

@@ -5,11 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODES = "relative_name string, node_id int, parent_id int, depth int, edge string, ordinal int, type string, start int, end int, attrs map<string,string>"
+_ARROW = pa.schema(
+    [("relative_name", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("edge", pa.string()), ("ordinal", pa.int32())]
+    + [("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))]
+)
+#: Nodes that are sent back at a time.
+_ROWS = 20_000
 _SKIPPED = frozenset(("loc", "start", "end"))
 
 
@@ -29,7 +35,7 @@ def walk(tree: object) -> Iterator[dict]:
             if isinstance(value.get("type"), str):
                 here, below = n, depth + 1
                 plain = {k: v if isinstance(v, str) else json.dumps(v) for k, v in value.items() if k not in _SKIPPED and k != "type" and not isinstance(v, (dict, list))}
-                yield {"node_id": n, "parent_id": parent, "depth": depth, "edge": edge, "ordinal": ordinal, "type": value["type"], "start": _int(value.get("start")), "end": _int(value.get("end")), "attrs": plain}
+                yield {"node_id": n, "parent_id": parent, "depth": depth, "edge": edge, "ordinal": ordinal, "type": value["type"], "start": _int(value.get("start")), "end": _int(value.get("end")), "attrs": list(plain.items())}
                 n += 1
             stack += [(v, here, below, k, 0) for k, v in reversed(list(value.items())) if k not in _SKIPPED]
 
@@ -41,21 +47,22 @@ def _int(v: object) -> int | None:
 def nodes(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
     """NODES of documents (relative_name, ast_json). Null or malformed JSON has no nodes; see malformed()."""
 
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, text in zip(pdf["relative_name"], pdf["json"], strict=True):
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = list(walk(json.loads(text))) if text is not None else []
+                    found = walk(json.loads(text)) if text is not None else ()
+                    rows += [{"relative_name": name, **n} for n in found]
                 except ValueError:
+                    continue
+                if len(rows) > _ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows = []
-                if rows:
-                    out = pd.DataFrame(rows)
-                    out.insert(0, "relative_name", name)
-                    for c in ("parent_id", "start", "end"):
-                        out[c] = out[c].astype("Int32")
-                    yield out
-
-    return documents.select("relative_name", F.col(json_col).alias("json")).mapInPandas(flatten, NODES)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return documents.select("relative_name", F.col(json_col).alias("json")).mapInArrow(flatten, NODES)
 
 
 def malformed(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
