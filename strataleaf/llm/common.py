@@ -56,12 +56,7 @@ def small(df: DataFrame, bytes_per_row: int, cap: int = BROADCAST_BYTES) -> Data
 
 def n_words(text: Column) -> Column:
     """Tokens of a text as maximal runs of anything but blank, tab and line ends; 0 for null."""
-    return F.coalesce(
-        F.when(F.length(F.trim(F.translate(text, "\t\r\n", "   "))) == 0, F.lit(0)).otherwise(
-            F.size(F.split(F.trim(F.translate(text, "\t\r\n", "   ")), " +"))
-        ),
-        F.lit(0),
-    ).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\r\\n]+")), F.lit(0)).cast("long")
 
 
 def n_words_sql(text: str) -> str:

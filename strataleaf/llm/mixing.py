@@ -74,9 +74,9 @@ def leaf_budgets(leaves: DataFrame, budget: float = BUDGET) -> DataFrame:
     return low.select(d, l, s, "tokens", F.floor(F.col("got") + 1e-6).cast("long").alias("_sl_budget"))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """docs with the leaf and tokens; null languages and sources are named ''."""
-    named = docs.withColumns({"_sl_lang": F.coalesce("lang", F.lit("")), "_sl_source": F.coalesce("source", F.lit("")), "_sl_tokens": n_words(F.col("text"))})
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with the leaf; null languages and sources are named ''."""
+    named = docs.withColumns({"_sl_lang": F.coalesce("lang", F.lit("")), "_sl_source": F.coalesce("source", F.lit(""))})
     return named.withColumn("_sl_domain", domain_of(F.col("_sl_source")))
 
 
@@ -84,29 +84,33 @@ def _key(epoch: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{SEED}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def _selected(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """The chosen rows of docs, once per epoch that takes them, with _sl_epoch: `extra` columns, leaf and tokens."""
-    marked = _marked(docs)
-    narrow = marked.select("doc_id", *_LEAF, "_sl_tokens").where("_sl_tokens > 0")
-    leaves = narrow.groupBy(*_LEAF).agg(F.sum("_sl_tokens").alias("tokens"))
-    plan = leaf_budgets(written(leaves, "leaves"))
+def _measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, leaf, tokens, tie) of the rows with tokens: the one pass that reads whole texts."""
+    sized = _named(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *_LEAF, n_words(F.col("text")).alias("_sl_tokens"), F.xxhash64("text").alias("_sl_tie"))
+    return written(sized.where("_sl_tokens > 0"), "measured")
+
+
+def _plan(narrow: DataFrame) -> DataFrame:
+    """Per leaf: whole epochs, and the leading hash value at which the last epoch's prefix ends, with the tokens left for it."""
+    plan = leaf_budgets(written(narrow.groupBy(*_LEAF).agg(F.sum("_sl_tokens").alias("tokens")), "leaves"))
     plan = written(plan.withColumns({"_sl_whole": F.floor(F.col("_sl_budget") / F.col("tokens")).cast("int"), "_sl_rest": F.col("_sl_budget") % F.col("tokens")}), "budgets")
-    plan_ = small(plan, 256)
-    # where the prefix of the epoch after the whole ones ends, among the leading hash values of the leaf
-    at = narrow.join(plan_, _LEAF).select(*_LEAF, "_sl_rest", _key(F.col("_sl_whole")).substr(1, 3).alias("_sl_head"), "_sl_tokens")
+    at = narrow.join(small(plan, 256), _LEAF).select(*_LEAF, "_sl_rest", _key(F.col("_sl_whole")).substr(1, 3).alias("_sl_head"), "_sl_tokens")
     sums = at.groupBy(*_LEAF, "_sl_rest", "_sl_head").agg(F.sum("_sl_tokens").alias("n"))
     to_here = F.sum("n").over(Window.partitionBy(*_LEAF).orderBy("_sl_head"))
     edge = sums.withColumn("to", to_here).where("to > _sl_rest").groupBy(*_LEAF).agg(F.min("_sl_head").alias("_sl_edge"), F.min_by(F.col("_sl_rest") - F.col("to") + F.col("n"), "_sl_head").alias("_sl_left"))
-    edges = small(written(edge, "edges"), 256)
-    full = plan_.join(edges, _LEAF, "left").drop("tokens", "_sl_budget", "_sl_rest")
-    rows = marked.where("_sl_tokens > 0").join(small(written(full, "plan"), 256), _LEAF)
-    rows = rows.withColumns({"_sl_key": _key(F.col("_sl_whole")), "_sl_head": _key(F.col("_sl_whole")).substr(1, 3)})
-    sure = F.col("_sl_whole") + F.when(F.coalesce(F.col("_sl_head") < F.col("_sl_edge"), F.lit(False)), 1).otherwise(0)
-    columns = [*extra, *_LEAF, "_sl_tokens", "_sl_epoch"]
-    many = rows.withColumn("_sl_n", sure).where("_sl_n > 0").withColumn("_sl_epoch", F.explode(F.sequence(F.lit(0), F.col("_sl_n") - 1))).select(*columns)
-    order = Window.partitionBy(*_LEAF).orderBy("_sl_key", F.xxhash64("text"), "_sl_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    close = rows.where("_sl_head = _sl_edge").withColumn("_sl_sum", F.sum("_sl_tokens").over(order)).where("_sl_sum <= _sl_left")
-    return many.unionAll(close.withColumn("_sl_epoch", F.col("_sl_whole")).select(*columns))
+    return small(written(plan.select(*_LEAF, "_sl_whole").join(edge, _LEAF, "left"), "plan"), 256)
+
+
+def _selected(rows: DataFrame, plan: DataFrame, tokens: Column, columns: list[str]) -> DataFrame:
+    """`columns` of rows (doc_id, leaf, _sl_tie, ...), all of them with tokens, once per epoch that takes them, and _sl_epoch."""
+    rows = rows.join(plan, _LEAF).withColumn("_sl_key", _key(F.col("_sl_whole")))
+    head = F.col("_sl_key").substr(1, 3)
+    sure = F.col("_sl_whole") + F.when(F.coalesce(head < F.col("_sl_edge"), F.lit(False)), 1).otherwise(0)
+    many = rows.withColumn("_sl_n", sure).where("_sl_n > 0").withColumn("_sl_epoch", F.explode(F.sequence(F.lit(0), F.col("_sl_n") - 1)))
+    close = rows.where(head == F.col("_sl_edge")).withColumn("_sl_tokens", tokens)
+    order = Window.partitionBy(*_LEAF).orderBy("_sl_key", "_sl_tie", "_sl_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    close = close.withColumn("_sl_sum", F.sum("_sl_tokens").over(order)).where("_sl_sum <= _sl_left").withColumn("_sl_epoch", F.col("_sl_whole"))
+    return many.select(*columns, "_sl_epoch").unionAll(close.select(*columns, "_sl_epoch"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -116,13 +120,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     null language or source is the leaf ''; a null id orders like an empty one; ties of the order
     (repeated ids) go by the text's hash. An empty table gives an empty table.
     """
-    return _selected(docs, docs.columns).select(*docs.columns)
+    plan = _plan(_measured(docs))
+    inked = _named(docs.where(F.col("text").rlike("[^ \\t\\r\\n]"))).withColumn("_sl_tie", F.xxhash64("text"))
+    return _selected(inked, plan, n_words(F.col("text")), docs.columns).select(*docs.columns)
 
 
 def selection(docs: DataFrame) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens): one row per document and epoch that takes it."""
     d, l, s = _LEAF
-    out = _selected(docs.select("doc_id", "text", "lang", "source"), ["doc_id"])
+    narrow = _measured(docs)
+    out = _selected(narrow, _plan(narrow), F.col("_sl_tokens"), ["doc_id", *_LEAF, "_sl_tokens"])
     return out.select("doc_id", F.col(d).alias("domain"), F.col(l).alias("lang"), F.col(s).alias("source"), F.col("_sl_epoch").alias("epoch"), F.col("_sl_tokens").alias("n_tokens"))
 
 
