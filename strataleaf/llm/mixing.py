@@ -35,8 +35,8 @@ _LEAF = ["_sl_domain", "_sl_lang", "_sl_source"]
 
 def domain_of(source: Column) -> Column:
     """The domain of a source: by its trailing number; 'web' if it has none or is null."""
-    n = F.expr("try_cast(regexp_extract(_sl_source, '([0-9]{1,9})$', 1) as int)")
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), n % len(DOMAINS) + 1), F.lit(DOMAINS[0]))
+    n = F.coalesce(F.expr("try_cast(regexp_extract(_sl_source, '([0-9]{1,9})$', 1) as int)"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), n % len(DOMAINS) + 1)
 
 
 def _weight(weights: dict[str, float], name: Column) -> Column:

@@ -41,6 +41,7 @@ _STRING = r'"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\
 _TARGET = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)["'\]]*(?:\s*:\s*[A-Za-z_][\w.\[\]]{{0,40}}(?=[ \t]*=))?[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*|<(?P<tag>{_NAME})>""")
 _PART = re.compile(rf"(?P<string>[bruRfF]{{0,2}}(?:{_STRING}))|(?P<ref>(?:\$\{{?)?{_NAME}\}}?)|(?P<join>[ \t]*(?:\+|\.\.|\|\||\.)[ \t]*(?:\\?\n[ \t]*)?|[ \t]+)")
 _BARE = re.compile(r"[^\s,;<>(){}\[\]\"'`]+")
+_REFERENCE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")
 _INNER = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)")
 _DULL = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\{.*\}|\$.*|%.*%|change.?me|your.*|example.*|placeholder|none|null|true|false|todo|dummy|test(?:ing)?|default|undefined|string|\[redacted\])$|://[^@]*$|^(?:/|\./|[A-Za-z]:\\)")
 
@@ -115,7 +116,7 @@ def _value(text: str, at: int, known: dict, bare: bool) -> tuple[str, list[tuple
         at = end = p.end()
     if not spans and bare and (b := _BARE.match(text, at if not value else end)):
         word = b[0].rstrip(".")
-        if not text.startswith("(", b.end()):  # a call isn't a literal
+        if not text.startswith(("(", "["), b.end()) and not _REFERENCE.fullmatch(word):  # calls, subscripts and attributes aren't literals
             return word, [(b.start(), len(word))], b.end()
     return value, spans, end
 

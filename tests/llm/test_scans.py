@@ -1,0 +1,110 @@
+import duckdb
+import pytest
+
+from strataleaf.llm import license_scan as L
+from strataleaf.llm import secret_scan as S
+
+KEY = "4534254f83b7e27b3670756d7cab6da61ccfcea9"
+
+
+def found(text):
+    return [(n.split(".")[-1], text[s : s + k]) for n, s, k, _, _ in S.findings(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'and token = "{KEY}" to', [("token", KEY)]),
+        (f"API_KEY={KEY}\n", [("API_KEY", KEY)]),
+        ('{"db_password": "hunter2Xy!9z"}', [("db_password", "hunter2Xy!9z")]),
+        ("config['secret'] = 'aB3$kd92ndA'", [("secret", "aB3$kd92ndA")]),
+        ("a = 'Zx9Qw3'\nb = 'Rt7Yu1'\nsecret_key = a + b\n", [("secret_key", "Zx9Qw3"), ("secret_key", "Rt7Yu1")]),
+        ("part='A8dk29fjKQ'\napi_key = f\"sk-{part}99\"", [("api_key", "A8dk29fjKQ"), ("api_key", "sk-{part}99")]),
+        ("x = 'q9Wm2Lk8Zp'\ny = x\nself.token = y", [("token", "q9Wm2Lk8Zp")]),
+        ("secret: str = 'aB3$kd92ndA'", [("secret", "aB3$kd92ndA")]),
+        (f"f(user='u', token='{KEY}')", [("token", KEY)]),
+        ("<password>s3cr3tValue99</password>", [("password", "s3cr3tValue99")]),
+        ("password = changeme", []), ("the token = value of it", []), ("Token: the quick", []), ("if token == 'abcdefgh12345':", []),
+        ("password = get_password()", []), ("author: Smith2023xyz", []), ("password = os.environ['PASSWORD']", []), ("api_key: settings.API_KEY_2024", []), ("", []),
+    ],
+)
+def test_findings(text, want):
+    assert found(text) == want
+
+
+def test_very_long_texts_take_linear_time():
+    for text in ("a" * 500_000, "a-" * 300_000, "a.b" * 200_000 + " = 'x", "\"" * 200_000, "token = " * 50_000):
+        S.findings(text)
+
+
+def test_planted_secrets_are_found_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.start, r.length) for r in S.scan(docs).collect()}
+    import re
+
+    rows = docs.collect()
+    brute = {(r.doc_id, s, n) for r in rows for _, s, n, _, _ in S.findings(r.text)}  # without the prefilter
+    planted = {(r.doc_id, m.start(1), 40) for r in rows for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert got == brute == planted
+
+
+def test_secret_edge_cases(hard, nothing, clashing):
+    out = S.redacted(hard)
+    assert out.columns == hard.columns and out.count() == hard.count()
+    changed = [r for r in out.collect() if r.text and S.REDACTED in r.text]
+    assert len(changed) == 1 and KEY not in changed[0].text and changed[0].n_chars == len(changed[0].text)
+    assert S.scan(hard).count() == 1 and S.scan(clashing).count() == 1 and S.scan(nothing).count() == 0 and S.redacted(nothing).count() == 0
+    assert S.redacted(clashing).columns == clashing.columns
+    assert not [f for r in changed for f in S.findings(r.text)]  # redacting again changes nothing
+
+
+LICENSE = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND"""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (LICENSE, ["MIT"]),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Ann Other\n\n" + LICENSE, ["MIT"]),
+        (LICENSE.replace("Software", "SOFTWARE").replace("\n", "  \n  "), ["MIT"]),
+        (LICENSE.replace("this software and associated documentation files", "this work"), ["MIT"]),
+        (LICENSE.replace("merge, ", ""), []),  # mandatory wording is missing
+        (LICENSE.replace('IS PROVIDED "AS IS"', 'IS PROVIDED BY THE AUTHORS "AS IS"'), ["MIT"]),
+        ("Licensed under the Apache Licence, Version 2.0", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("This program is free software: licensed under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", []),
+        ("", []),
+    ],
+)
+def test_licenses(text, want):
+    assert [k for k, _, _ in L.matches(text)] == want
+
+
+def test_tokens_of_a_match():
+    assert L.matches("x y Released under the MIT License now") == [("MIT-notice", 2, 5)]
+
+
+def test_prefilter_loses_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.license, r.n_matches) for r in L.scan(docs).collect()}
+    from collections import Counter
+
+    assert got == {(r.doc_id, k, n) for r in docs.collect() for k, n in Counter(m[0] for m in L.matches(r.text)).items()}
+
+
+def test_license_edge_cases(hard, nothing, clashing):
+    want = [(11, "CC-BY-NC-4.0", 1, 5, 7), (11, "MIT-notice", 1, 0, 5)]
+    assert sorted(tuple(r) for r in L.scan(hard).collect()) == want
+    assert sorted(tuple(r) for r in L.scan(clashing).collect()) == want
+    assert L.scan(nothing).count() == 0
+    documents = hard.toArrow()  # noqa: F841
+    c = duckdb.connect()
+    c.execute("create table d as select * from documents")
+    c.execute("create or replace view documents as select * from d")
+    assert sorted((int(r[0]), *r[1:]) for r in c.sql(L.sql()).fetchall()) == want
