@@ -162,9 +162,8 @@ def distinct_candidates(candidates: Column) -> Column:
 
 def nth_index(text: Column, needle: str, occurrence: int = 0) -> Column:
     """The offset, in UTF-16 units, of the nth match of needle (from 0, not overlapping); null if there is none."""
-    head = F.substring_index(text, needle, occurrence + 1)
-    found = F.size(F.split(text, _literal(needle), -1)) > occurrence + 1
-    return F.when(found, utf16_length(head))
+    parts = F.split(text, _literal(needle), -1)
+    return let(parts, lambda p: F.when(F.size(p) > occurrence + 1, utf16_length(F.array_join(F.slice(p, 1, occurrence + 1), needle))))
 
 
 def _literal(needle: str) -> str:
