@@ -83,3 +83,9 @@ def distinct_in_order(rows: DataFrame, by: list[str], order: str, value: str, na
     """Per group the distinct values in the order of their first arrival."""
     seen = F.array_sort(F.collect_list(F.struct(order, value)))
     return rows.groupBy(*by).agg(F.array_distinct(F.transform(seen, lambda x: x[value])).alias(name))
+
+
+def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """left with columns of its first match in right, by order; nulls without one. right is reduced to one row per key before the join."""
+    first = right.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
+    return left.join(first, key, "left").select(*left.columns, "_first.*")

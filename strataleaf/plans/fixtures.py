@@ -69,3 +69,16 @@ TREES = [
     ("bad.js", '{"type":'),
     ("null.js", None),
 ]
+#: (relative_name, ast_json, expected (offset, type))
+TYPED_TREES = [
+    (
+        "t.ts",
+        '{"type":"Program","start":0,"body":[{"type":"VariableDeclaration","start":0,"declarations":[{"type":"VariableDeclarator","start":6,"id":{"type":"Identifier","start":6,"name":"a"},"init":{"type":"NumericLiteral","start":10,"value":1}}]},'
+        '{"type":"FunctionDeclaration","start":20,"async":true,"id":{"type":"Identifier","start":35,"name":"f"},"params":[{"type":"Identifier","start":37,"name":"x","typeAnnotation":{"type":"TSTypeAnnotation","typeAnnotation":{"type":"TSArrayType","elementType":{"type":"TSStringKeyword"}}}}],'
+        '"body":{"type":"BlockStatement","start":50,"body":[{"type":"ReturnStatement","start":52,"argument":{"type":"Identifier","start":59,"name":"a"}},{"type":"ReturnStatement","start":62,"argument":{"type":"StringLiteral","start":69,"value":"s"}}]}},'
+        '{"type":"ExpressionStatement","start":80,"expression":{"type":"CallExpression","start":80,"callee":{"type":"Identifier","start":80,"name":"a"},"arguments":[{"type":"UnaryExpression","start":82,"operator":"typeof","argument":{"type":"Identifier","start":89,"name":"a"}}]}}]}',
+        [(6, "number"), (10, "number"), (20, "Promise<number | string>"), (35, "(x: Array<string>) => Promise<number | string>"), (37, "Array<string>"), (59, "number"), (69, "string"), (82, "string"), (89, "number")],
+    ),
+    ("bad.ts", "{", []),
+    ("null.ts", None, []),
+]

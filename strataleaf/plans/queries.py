@@ -14,7 +14,7 @@ from strataleaf.functions import paths, text
 from strataleaf.functions import typestrings as T
 from strataleaf.operators import relational as R
 from strataleaf.operators import slices as S
-from strataleaf.operators import tree, typemap
+from strataleaf.operators import syntactic_types, tree, typemap
 from strataleaf.operators.ejs import transformed
 from strataleaf.plans import duck as D
 from strataleaf.plans import fixtures as X
@@ -475,6 +475,20 @@ def ejs_transform(spark, sf_dir):
     return spark.createDataFrame(X.TEMPLATES, "source string, code string").select("source", transformed(F.col("source")).alias("code"))
 
 
+@query(f"SELECT * FROM {D.values([(n, o, t) for n, _, want in X.TYPED_TREES for o, t in want], 'relative_name,position,type')}")
+def syntactic_typemap(spark, sf_dir):
+    """TREE-2..6, TY-1..24 as far as syntax tells, FLT-8, FLT-9, then AGG-3 (authored; the oracle is a table of known answers)."""
+    docs = spark.createDataFrame([x[:2] for x in X.TYPED_TREES], "relative_name string, ast_json string")
+    return typemap.arbitrate(syntactic_types.type_candidates(docs)).select("relative_name", F.col("offset").alias("position"), "type")
+
+
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey")
+def first_declaration(spark, sf_dir):
+    """JOIN-2: each use with the first of its declarations; a customer's first order stands for it."""
+    orders = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return R.first_match(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
+
+
 # ---- sinks and front ends
 
 
