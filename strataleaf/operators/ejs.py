@@ -15,8 +15,8 @@ from pyspark.sql.types import StringType
 
 _SCRIPT = re.compile(r"<script>(.*?)</script>", re.I | re.S)
 _TAG = re.compile(r"(?P<open><%[=_#-]?)(?P<code>.*?)(?P<close>[_#-]?%>)", re.S)
-_CONTROL = re.compile(r"(if|while|for)\s+(?!\()([^\n\r]+)")
-_HEAD = re.compile(r"if|while|for|try|switch|catch")
+_CONTROL = re.compile(r"(?P<word>for|if|while)\s+(?!\()(?P<rest>[^\n\r]+)")
+_HEAD = re.compile(r"catch|for|if|switch|try|while")
 
 
 def _units(text: str) -> str:
@@ -59,7 +59,7 @@ def _control(code: str) -> str | None:
         m = re.fullmatch(r"if\s+(?!\()([^\n\r]+)", rest)
         return "} else " + (f"if ({m[1]})" if m else rest) + " {"
     m = _CONTROL.fullmatch(code)
-    new = f"{m[1]} ({m[2]})" if m else code
+    new = f"{m['word']} ({m['rest']})" if m else code
     if _HEAD.match(new) and not new.endswith(("{", "}", ";")):
         new += " {"
     return new if new != code else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 COMPONENTS = [
     ("plain.vue", "<template>\n<h1 :title=\"t\">{{ t }}</h1>\n</template>\n<script>\nexport default { data: () => ({ t: 'x' }) }\n</script>\n<style scoped>\nh1 { color: red }\n</style>\n"),
     ("setup.vue", '<script setup lang="ts">\nconst n = 1;\n</script>\n<!-- a\nb -->\n<template>\n<p :[key]="v" @click="go" .prop="z">{{ n }}<br>{{ n + 1 }}</p>\n</template>\n'),
@@ -33,7 +35,7 @@ ROUTES = [
 ]
 #: (dump, file_ord, content)
 DUMPS = [
-    ("app/A.tasty", 0, "Names (10 bytes, starting from 1):\n0: ASTs\n1: a\n2: play.api.Foo\n3: x: yy\nTrees (5 bytes):\n139: SELECTin(12) 38 [<init>[Signed Signature(List(play.api.mvc.MessagesControllerComponents,scala.Int),play.api.mvc.Result) @<init>]]\n140: X [f[Signed Signature(List(slick.jdbc.X),java.lang.String) @f]]\nPositions (9 bytes):\nsource paths:\n0: 5 [app/controllers/A.scala]\n"),
+    ("app/A.tasty", 0, "Names (10 bytes, starting from 1):\n0: ASTs\n1: a\n2: play.api.Foo\n3: x: yy\nTrees (5 bytes):\n139: SELECT 38 [<init>[ Signature(List(play.api.mvc.MessagesControllerComponents,scala.Int),play.api.mvc.Result) @<init>]]\n140: X [f[Signed Signature(List(slick.jdbc.X),java.lang.String) @f]]\nPositions (9 bytes):\nsource paths:\n0: 5 [app/controllers/A.scala]\n"),
     ("app/R.tasty", 1, "Names:\r\n1: ab\r\n---\r\nTrees:\r\n1: T Signature(router.RoutesPrefix, q) x\r\npositions:\r\nsource paths:\r\n0: target/scala-3/x/routes.scala\r\n"),
     ("app/A2.tasty", 2, "Trees (1):\n1: T Signature(play.twirl.api.Html) x\nNames (2):\n3: late\n5: late\n4: other\nsource paths: 1 [app/controllers/A.scala]\n"),
     ("app/N.tasty", 3, "Names:\n1: nothing\n"),
@@ -64,21 +66,35 @@ BUILDS = [
     ("b", 0, "crossScalaVersions := Seq(\"2.13.1\", \"3.2.0\")"), ("c", 0, "scalaVersion := \"3.1.0\""),
 ]
 TREES = [
-    ("m.js", '{"type":"File","start":0,"end":20,"loc":{"start":{"type":"no"}},"program":{"type":"Program","body":[{"type":"ExpressionStatement","expression":{"type":"CallExpression","callee":{"type":"Identifier","name":"f","start":3},"arguments":[{"type":"NumericLiteral","value":1},[{"type":"Identifier","name":"g","start":9}]]}},null]},"comments":[null]}'),
+    ("m.js", '{"end":20,"start":0,"type":"File","loc":{"start":{"type":"no"}},"program":{"type":"Program","body":[{"type":"ExpressionStatement","expression":{"type":"CallExpression","callee":{"type":"Identifier","name":"f","start":3},"arguments":[{"type":"NumericLiteral","value":1},[{"type":"Identifier","name":"g","start":9}]]}},null]},"comments":[null]}'),
     ("n.js", '{"type":"File","program":{"body":[{"type":"Identifier","name":"z"},{"type":7,"x":{"type":"Identifier"}}]}}'),
     ("bad.js", '{"type":'),
     ("null.js", None),
 ]
+
+
+def _node(kind: str, start: int, **more: object) -> dict:
+    return {"start": start, "type": kind, **more}
+
+
+def _name(name: str, start: int, **more: object) -> dict:
+    return _node("Identifier", start, name=name, **more)
+
+
+_STRINGS = {"typeAnnotation": {"elementType": {"type": "TSStringKeyword"}, "type": "TSArrayType"}, "type": "TSTypeAnnotation"}
+_BODY = _node("BlockStatement", 50, body=[_node("ReturnStatement", 52, argument=_name("a", 59)), _node("ReturnStatement", 62, argument=_node("StringLiteral", 69, value="s"))])
+_TYPED = _node(
+    "Program",
+    0,
+    body=[
+        _node("VariableDeclaration", 0, declarations=[_node("VariableDeclarator", 6, id=_name("a", 6), init=_node("NumericLiteral", 10, value=1))]),
+        {"async": True, **_node("FunctionDeclaration", 20, id=_name("f", 35), params=[_name("x", 37, typeAnnotation=_STRINGS)], body=_BODY)},
+        _node("ExpressionStatement", 80, expression=_node("CallExpression", 80, callee=_name("a", 80), arguments=[_node("UnaryExpression", 82, operator="typeof", argument=_name("a", 89))])),
+    ],
+)
 #: (relative_name, ast_json, expected (offset, type))
 TYPED_TREES = [
-    (
-        "t.ts",
-        '{"type":"Program","start":0,"body":[{"type":"VariableDeclaration","start":0,"declarations":[{"type":"VariableDeclarator","start":6,"id":{"type":"Identifier","start":6,"name":"a"},"init":{"type":"NumericLiteral","start":10,"value":1}}]},'
-        '{"type":"FunctionDeclaration","start":20,"async":true,"id":{"type":"Identifier","start":35,"name":"f"},"params":[{"type":"Identifier","start":37,"name":"x","typeAnnotation":{"type":"TSTypeAnnotation","typeAnnotation":{"type":"TSArrayType","elementType":{"type":"TSStringKeyword"}}}}],'
-        '"body":{"type":"BlockStatement","start":50,"body":[{"type":"ReturnStatement","start":52,"argument":{"type":"Identifier","start":59,"name":"a"}},{"type":"ReturnStatement","start":62,"argument":{"type":"StringLiteral","start":69,"value":"s"}}]}},'
-        '{"type":"ExpressionStatement","start":80,"expression":{"type":"CallExpression","start":80,"callee":{"type":"Identifier","start":80,"name":"a"},"arguments":[{"type":"UnaryExpression","start":82,"operator":"typeof","argument":{"type":"Identifier","start":89,"name":"a"}}]}}]}',
-        [(6, "number"), (10, "number"), (20, "Promise<number | string>"), (35, "(x: Array<string>) => Promise<number | string>"), (37, "Array<string>"), (59, "number"), (69, "string"), (82, "string"), (89, "number")],
-    ),
+    ("t.ts", json.dumps(_TYPED), [(6, "number"), (10, "number"), (20, "Promise<number | string>"), (35, "(x: Array<string>) => Promise<number | string>"), (37, "Array<string>"), (59, "number"), (69, "string"), (82, "string"), (89, "number")]),
     ("bad.ts", "{", []),
     ("null.ts", None, []),
 ]

@@ -19,8 +19,8 @@ _EXTENSIONS = "{cjs,cts,ejs,js,jsx,mjs,mts,svelte,ts,tsx,vue,xsjs,xsjslib}"
 def bundles_enabled(env: dict[str, str] | None = None) -> bool:
     """Whether bundled libraries in node_modules are scanned: asked for, or implied by a list of ignored folders without it."""
     e = os.environ if env is None else env
-    ignored = e.get("ASTGEN_IGNORE_DIRS", "")
-    return e.get("ASTGEN_INCLUDE_NODE_MODULES_BUNDLES") == "true" or (ignored != "" and "node_modules" not in ignored)
+    ignored = e.get("STRATALEAF_IGNORE_DIRS", "")
+    return e.get("STRATALEAF_BUNDLES") == "true" or (ignored != "" and "node_modules" not in ignored)
 
 
 def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:

@@ -168,8 +168,8 @@ def launcher(kind: str, here: Path, env: dict[str, str] | None = None) -> list[s
     if kind == "php":
         named, tool, runtime = e.get("PHP_PARSER_BIN"), "php-parse", [e.get("PHP_CMD", "php")]
     else:
-        named, tool = e.get("RUBY_ASTGEN_BIN"), "rbastgen"
-        runtime = [str(Path(e["ATOM_RUBY_HOME"]) / "bin" / "ruby") if e.get("ATOM_RUBY_HOME") else e.get("RUBY_CMD", "ruby")]
+        named, tool = e.get("RUBY_PARSER_BIN"), "ruby-parse"
+        runtime = [str(Path(e["RUBY_HOME"]) / "bin" / "ruby") if e.get("RUBY_HOME") else e.get("RUBY_CMD", "ruby")]
     places = [Path(named)] if named else [here / "plugins" / "bin" / tool, *(d / "node_modules" / ".bin" / tool for d in here.parents)]
     found = next((p for p in places if p.is_file()), None)
     return [*runtime, str(found)] if found else None
@@ -182,7 +182,7 @@ def ensure_compiled(root: Path, env: dict[str, str] | None = None, run: Callable
         return True
     build = [e.get("MILL_CMD", "mill"), "__.compile"] if (root / "build.mill").is_file() else [e.get("SBT_CMD", "sbt"), "compile"]
     try:
-        run(build, cwd=root, timeout=seconds(e.get("ATOM_TIMEOUT") or e.get("ASTGEN_TIMEOUT")), check=False, capture_output=True)
+        run(build, cwd=root, timeout=seconds(e.get("STRATALEAF_TIMEOUT")), check=False, capture_output=True)
     except (OSError, subprocess.SubprocessError):
         return False
     return next(root.rglob("*.tasty"), None) is not None
