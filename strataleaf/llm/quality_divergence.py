@@ -30,7 +30,7 @@ COMMON = {
     "es": "el la los las de del y en que un una por con no para es al lo se su como más o le a".split(),
 }
 MIN_WORDS = 10
-CLASS_LIMIT, WORD_LIMIT, NOISE = 0.2, 0.02, 1.5
+CLASS_LIMIT, WORD_LIMIT, NOISE = 0.2, 0.05, 1.5
 
 _KINDS, _WIDTH = 7, 26  # bins: the classes; then the common words and all other words
 
