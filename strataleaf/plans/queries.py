@@ -334,7 +334,7 @@ sig AS (SELECT DISTINCT dump, v FROM (SELECT dump, trim(unnest(string_split(repl
 src AS (SELECT dump, CASE WHEN contains(line, ' [') AND suffix(line, ']') THEN replace(string_split(line, ' [')[-1], ']', '') ELSE trim(string_split(line, ': ')[-1]) END AS source_file FROM w WHERE armed > 0 AND (contains(line, ' [') AND suffix(line, ']') OR contains(line, '.scala') AND contains(line, ': ')) QUALIFY row_number() OVER (PARTITION BY dump ORDER BY armed DESC, line_no) = 1),
 tag AS (SELECT DISTINCT dump, tag FROM sig, (VALUES {', '.join(f"('{p}', '{t}')" for t, ps in S.TAG_RULES.items() for p in ps)}) AS r(prefix, tag) WHERE starts_with(v, prefix) UNION SELECT dump, 'generated' FROM src WHERE contains(source_file, 'target')),
 d AS (SELECT DISTINCT dump FROM f)"""
-_SLICES_SQL = f"""{_DUMP_SQL} SELECT dump, source_file, coalesce((SELECT list(tag ORDER BY tag) FROM tag WHERE tag.dump = d.dump), []) AS tags, coalesce((SELECT list(v ORDER BY v) FROM sig WHERE sig.dump = d.dump), []) AS used_types, coalesce(literals, []) AS literals
+_SLICES_SQL = f"""{_DUMP_SQL} SELECT dump, source_file, coalesce((SELECT string_agg(tag, ';' ORDER BY tag) FROM tag WHERE tag.dump = d.dump), '') AS tags, coalesce((SELECT string_agg(v, ';' ORDER BY v) FROM sig WHERE sig.dump = d.dump), '') AS used_types, coalesce(array_to_string(literals, ';'), '') AS literals
 FROM d LEFT JOIN src USING (dump) LEFT JOIN lit USING (dump)"""
 
 
@@ -345,7 +345,8 @@ def _dumps(spark):
 @query(_SLICES_SQL)
 def dump_slices(spark, sf_dir):
     """WIN-1, WIN-2, SC-17..19, FLT-12..14, AGG-7: slices of compiler dumps (authored)."""
-    return S.slices(R.file_lines(_dumps(spark).select("dump", "content")))
+    found = S.slices(R.file_lines(_dumps(spark).select("dump", "content")))
+    return found.select("dump", "source_file", *[F.array_join(c, ";").alias(c) for c in ("tags", "used_types", "literals")])
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -375,12 +376,12 @@ def slice_keys(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", paths.slice_key(made).alias("key"))
 
 
-@query("SELECT conv_id, list(role ORDER BY turn) AS roles, any_value(u) AS role_union FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL) JOIN (SELECT conv_id, string_agg(DISTINCT role, ' | ' ORDER BY role) AS u FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, any_value(u) AS role_union FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL) JOIN (SELECT conv_id, string_agg(DISTINCT role, ' | ' ORDER BY role) AS u FROM conversations GROUP BY conv_id) USING (conv_id) GROUP BY conv_id")
 def distinct_collect(spark, sf_dir):
     """AGG-7, AGG-8, SORT-2: distinct values in order of arrival, and sorted."""
     c = _t(spark, sf_dir, "conversations")
     seen = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return c.groupBy("conv_id").agg(F.array_distinct(F.transform(seen, lambda x: x["role"])).alias("roles"), T.union_type(F.col("role")).alias("role_union"))
+    return c.groupBy("conv_id").agg(F.array_join(F.array_distinct(F.transform(seen, lambda x: x["role"])), ",").alias("roles"), T.union_type(F.col("role")).alias("role_union"))
 
 
 # ---- joins and sets
@@ -463,7 +464,7 @@ def json_walk_nodes(spark, sf_dir):
     return tree.nodes(e).select(F.col("relative_name").cast("long").alias("event_id"), "type", "depth", F.col("attrs")["k"].alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('m.js', 'CallExpression', 1), ('m.js', 'ExpressionStatement', 1), ('m.js', 'File', 1), ('m.js', 'Identifier', 2), ('m.js', 'NumericLiteral', 1), ('m.js', 'Program', 1), ('n.js', 'File', 1), ('n.js', 'Identifier', 2)) AS v(relative_name, type, n)")
+@query("SELECT relative_name, type, CAST(n AS BIGINT) AS n FROM (VALUES ('m.js', 'CallExpression', 1), ('m.js', 'ExpressionStatement', 1), ('m.js', 'File', 1), ('m.js', 'Identifier', 2), ('m.js', 'NumericLiteral', 1), ('m.js', 'Program', 1), ('n.js', 'File', 1), ('n.js', 'Identifier', 2)) AS v(relative_name, type, n)")
 def json_walk_histogram(spark, sf_dir):
     """TREE-1, AGG-1, AGG-2 (authored; the oracle is a table of known answers)."""
     return tree.type_histogram(tree.nodes(spark.createDataFrame(X.TREES, "relative_name string, ast_json string")))
