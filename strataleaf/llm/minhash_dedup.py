@@ -124,7 +124,7 @@ def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int64()))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20):
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 18):
     """(batch part, word hashes, offsets), of bounded size but for a single long document."""
     for batch in batches:
         values, offsets = _lists(batch.column("hashes"))
