@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local["):
+    if sc.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="strataleaf-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
