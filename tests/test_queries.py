@@ -36,7 +36,7 @@ def test_slices_document(spark):
     doc = json.loads(Q.QUERIES["slices_document"](spark, SF).first().document)
     assert set(doc) == {"config", "app/controllers/A.scala", "target/scala-3/x/routes.scala", "app/N.scala"}
     assert len(doc["config"]["routes"]) == 13
-    assert doc["app/controllers/A.scala"] == {"sourceFile": "app/controllers/A.scala", "tags": ["framework-input", "framework-output"], "usedTypes": ["play.twirl.api.Html"], "literals": ["late", "other"]}
+    assert doc["app/controllers/A.scala"] == {"sourceFile": "app/controllers/A.scala", "tags": ["framework-input", "framework-output"], "usedTypes": ["play.twirl.api.Html"], "literals": ["late", "other", "1 [app/controllers/A.scala]"]}
 
 
 def test_every_query_is_registered():
