@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import BROADCAST_BYTES, n_words, small, written
+from strataleaf.llm.common import BROADCAST_BYTES, n_words, written
 
 CONTEXT = 2048
 #: Residues of the id by which a length's pieces are numbered.
@@ -93,7 +93,8 @@ def packed(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     frame = pd.DataFrame(slots, columns=["n_tokens", "lo", "hi", "bin", "per", "offset"]).astype({"n_tokens": "int32", "per": "int32", "offset": "int32"} | dict.fromkeys(("lo", "hi", "bin"), "int64"))
     ranges = docs.sparkSession.createDataFrame(frame, "n_tokens int, lo long, hi long, bin long, per int, offset int")
     within = Window.partitionBy("n_tokens", "residue").orderBy("doc_id", "piece")
-    starts = small(by.drop("count"), 32)
+    # counts are partitioned as the windows are, so this join moves no piece and broadcasts nothing that grows
+    starts = by.drop("count")
     ranked = pieces.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["n_tokens", "residue"]).withColumn("rank", F.col("nth") + F.col("before"))
     # the plan's rows depend on `context` alone
     placed = ranked.join(F.broadcast(ranges) if len(slots) * 48 <= BROADCAST_BYTES else ranges, "n_tokens").where("rank >= lo AND rank < hi")
