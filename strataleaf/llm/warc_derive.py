@@ -101,13 +101,15 @@ def derived(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     empty ones. Repeated records have equal derivatives. An empty table gives an empty table; other
     columns are ignored.
     """
-    raw = records.select(F.col(id_col).alias("id"), F.col("record").alias("r")).where(F.col("r").startswith("WARC/1."))
-    a = raw.select("id", _head(F.col("r")).alias("head"), "r").select("id", "head", _headers(F.col("head")).alias("warc"), _rest(F.col("r"), F.col("head")).alias("rest"))
-    a = a.where((F.lower(_header(F.col("warc"), "WARC-Type")) == "response") & _header(F.col("warc"), "WARC-Record-ID").isNotNull())
+    # invalid records are told apart by a null block after the explode: a filter before it would be
+    # pushed down to where the record is made, and make it again for every condition
+    a = records.select(F.col(id_col).alias("id"), F.col("record").alias("r"))
+    a = a.select("id", _head(F.col("r")).alias("head"), "r").select("id", "head", _headers(F.col("head")).alias("warc"), _rest(F.col("r"), F.col("head")).alias("rest"))
+    valid = F.col("head").startswith("WARC/1.") & (F.lower(_header(F.col("warc"), "WARC-Type")) == "response") & _header(F.col("warc"), "WARC-Record-ID").isNotNull()
     # a record ends with two line ends of its own
-    a = a.select("id", "warc", F.regexp_replace("rest", r"\r\n\r\n\z", "").alias("http"))
-    a = a.select("id", "warc", "http", _head(F.col("http")).alias("hhead"))
-    a = a.select("id", "warc", F.substring_index("hhead", _CRLF, 1).alias("status"), _headers(F.col("hhead")).alias("headers"), _rest(F.col("http"), F.col("hhead")).alias("html"))
+    a = a.select("id", "warc", valid.alias("valid"), F.regexp_replace("rest", r"\r\n\r\n\z", "").alias("http"))
+    a = a.select("id", "warc", "valid", "http", _head(F.col("http")).alias("hhead"))
+    a = a.select("id", "warc", "valid", F.substring_index("hhead", _CRLF, 1).alias("status"), _headers(F.col("hhead")).alias("headers"), _rest(F.col("http"), F.col("hhead")).alias("html"))
     warc = F.col("warc")
     source, uri, date, digest = (_header(warc, h) for h in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest"))
     title = F.trim(F.regexp_replace(_decoded(F.regexp_extract("html", _TITLE, 1)), r"[ \t\r\n\f]+", " "))
@@ -116,11 +118,11 @@ def derived(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     b = a.select(
         "id", source.alias("refers_to"), uri.alias("target_uri"), date.alias("warc_date"), digest.alias("payload_digest"),
         F.explode(F.array(
-            F.struct(F.lit("metadata").alias("warc_type"), F.lit("conversion").alias("other"), F.lit("application/json").alias("kind"), meta.alias("block")),
-            F.struct(F.lit("conversion").alias("warc_type"), F.lit("metadata").alias("other"), F.lit("text/plain; charset=utf-8").alias("kind"), plain_text(F.col("html")).alias("block")),
+            F.struct(F.lit("metadata").alias("warc_type"), F.lit("conversion").alias("other"), F.lit("application/json").alias("kind"), F.when(F.col("valid"), meta).alias("block")),
+            F.struct(F.lit("conversion").alias("warc_type"), F.lit("metadata").alias("other"), F.lit("text/plain; charset=utf-8").alias("kind"), F.when(F.col("valid"), plain_text(F.col("html"))).alias("block")),
         )).alias("d"),
     )
-    b = b.select("*", "d.*", _uuid(F.concat("refers_to", F.lit(" "), "d.warc_type")).alias("record_id"), _uuid(F.concat("refers_to", F.lit(" "), "d.other")).alias("concurrent_to"), _sha(F.col("d.block")).alias("block_digest"))
+    b = b.where("d.block IS NOT NULL").select("*", "d.*", _uuid(F.concat("refers_to", F.lit(" "), "d.warc_type")).alias("record_id"), _uuid(F.concat("refers_to", F.lit(" "), "d.other")).alias("concurrent_to"), _sha(F.col("d.block")).alias("block_digest"))
     headers = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "kind")]
     record = _record([*((k, F.col(v)) for k, v in headers), ("Content-Length", F.octet_length("block").cast("string"))], F.col("block"))
     return b.select(F.col("id").alias(id_col), *[v for _, v in headers[:-1]], "block", record.alias("record"))
