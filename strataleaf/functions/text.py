@@ -172,7 +172,9 @@ def _literal(needle: str) -> str:
 
 def collapse_space(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"[{JS_SPACE}]+", " "), "^ | $", "")
+    # a single blank is left alone, for most gaps are one
+    other = JS_SPACE.replace(" ", "")
+    return F.trim(F.regexp_replace(text, f"[{JS_SPACE}]{{2,}}|[{other}]", " "))
 
 
 def js_trim(text: Column) -> Column:
