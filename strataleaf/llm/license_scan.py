@@ -21,29 +21,48 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 _COPYRIGHT = '<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="holder";original="<year> <holder>";match=".{0,20}">> <<beginOptional>>All rights reserved<<endOptional>><<endOptional>>'
 _AS_IS = 'IS PROVIDED <<var;name="by";original="";match=".{0,12}">> "AS IS"'
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_DISCLAIMER = f"""THIS SOFTWARE {_AS_IS}<<beginOptional>> AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".{{1,12}}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE<<endOptional>>"""
 
 TEMPLATES = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use this file except in compliance with the License.
         You may obtain a copy of the License at <<var;name="url";original="http://www.apache.org/licenses/LICENSE-2.0";match=".{1,12}">>
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
         WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.<<endOptional>>""",
-    "MIT": f"""<<beginOptional>>The MIT License <<beginOptional>>(MIT)<<endOptional>><<endOptional>> {_COPYRIGHT}
+    "MIT": f"""<<beginOptional>><<beginOptional>>The<<endOptional>> MIT License <<beginOptional>>(MIT)<<endOptional>><<endOptional>> {_COPYRIGHT}
         Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="what";original="this software and associated documentation files";match=".{{1,8}}">> (the "Software"),
         to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
         and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
-        THE SOFTWARE {_AS_IS}, WITHOUT WARRANTY OF ANY KIND""",
+        THE SOFTWARE {_AS_IS}, WITHOUT WARRANTY OF ANY KIND<<beginOptional>>, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL <<var;name="liable";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{{1,12}}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE<<endOptional>>""",
     "MIT-notice": 'Released under the <<beginOptional>>terms of the<<endOptional>> MIT License',
     "GPL-3.0": """This <<var;name="work";original="program";match=".{1,4}">> is <<beginOptional>>free software:<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>>
         GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either<<endOptional>> version 3<<beginOptional>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>""",
+    "GPL-3.0-notice": """<<beginOptional>>This <<var;name="work";original="program";match=".{1,4}">> is<<endOptional>> free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the
+        GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>, <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the License<<endOptional>>
+        <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>, or (at your option) any later version<<endOptional>>
+        <<beginOptional>><<var;name="work";original="This program";match=".{1,4}">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.<<endOptional>> <<beginOptional>>You should have received a copy of the GNU General Public License along with <<var;name="work";original="this program";match=".{1,4}">>.
+        If not, see <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://<<beginOptional>>www.<<endOptional>>gnu.org/licenses/<<endOptional>>""",
     "CC-BY-NC-4.0": 'Licensed under <<beginOptional>>a Creative Commons Attribution NonCommercial 4.0 International License,<<endOptional>> CC BY-NC 4.0',
-    "BSD-2-Clause": f"""{_COPYRIGHT} Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-        <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="org";original="the copyright holder";match=".{{1,12}}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.<<endOptional>>
-        THIS SOFTWARE {_AS_IS}""",
-    "ISC": f"""{_COPYRIGHT} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE {_AS_IS}""",
+    "CC-BY-NC-4.0-notice": """<<beginOptional>>This <<var;name="work";original="work";match=".{1,4}">> is<<endOptional>> licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>>
+        Creative Commons Attribution-NonCommercial 4.0 International <<beginOptional>>Public<<endOptional>> License<<beginOptional>>. To view a copy of this license, visit <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://creativecommons.org/licenses/by-nc/4.0/
+        <<beginOptional>>or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA<<endOptional>><<endOptional>>""",
+    "BSD-2-Clause": f"""<<beginOptional>><<beginOptional>>The<<endOptional>> BSD 2-Clause License<<endOptional>> {_COPYRIGHT} {_BSD_CONDITIONS} {_BSD_DISCLAIMER}""",
+    "BSD-3-Clause": f"""<<beginOptional>><<beginOptional>>The<<endOptional>> BSD 3-Clause License<<endOptional>> {_COPYRIGHT} {_BSD_CONDITIONS}
+        <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="org";original="the copyright holder";match=".{{1,12}}">> nor the names of <<var;name="whose";original="its";match=".{{1,6}}">> contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission. {_BSD_DISCLAIMER}""",
+    "ISC": f"""<<beginOptional>><<beginOptional>>The<<endOptional>> ISC License <<beginOptional>>(ISC)<<endOptional>><<endOptional>> {_COPYRIGHT} Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE {_AS_IS}<<beginOptional>> AND <<var;name="who";original="THE AUTHOR";match=".{{1,12}}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";match=".{{1,12}}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE<<endOptional>>""",
 }
 
 _MARK = re.compile(r'<<(beginOptional|endOptional|var)[^>]*?(?:match="\.\{(\d+),(\d+)\}")?\s*>>')
