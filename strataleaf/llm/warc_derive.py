@@ -10,9 +10,14 @@ same record. Everything is built-in expressions over one scan: no shuffle, no Py
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataleaf.functions.text import let, replace_each
+
 _CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -71,19 +76,65 @@ def _header(headers: Column, name: str) -> Column:
 _DROP = (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<(head|noscript|template)\b[^>]*>.*?</(head|noscript|template)\s*>")
 _BREAK = r"(?i)</?(p|div|br|hr|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|main|aside|pre|blockquote|form|dl|dt|dd|title|body)\b[^>]*>"
 _TAG = r"<[!/?a-zA-Z][^>]*>"
+#: The entities that the SQL decodes; the operator decodes all.
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
-def _decoded(c: Column) -> Column:
-    for k, v in _ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
+#: Names that count without a semicolon too, longest first, and what may be a character reference in text.
+_OPEN = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+_REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN}))"
+#: In attributes a name without semicolon counts only if the next character couldn't belong to it: ?a=1&copy=2 stays.
+_IN_ATTRIBUTE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN})(?![A-Za-z0-9=]))"
+#: Numbers 128 to 159 mean the characters of windows-1252 that have those bytes.
+_C1 = {str(b): c for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def _names() -> Column:
+    """Named references by their first two letters: the lookup in a map literal is a walk through its keys."""
+    out: dict[str, dict[str, str]] = {}
+    for k, v in html5.items():
+        out.setdefault(k[:2], {})[k] = v.replace("\xa0", " ")
+    return F.from_json(F.lit(json.dumps(out)), "map<string,map<string,string>>")
+
+
+def _numbered(m: Column) -> Column:
+    """The character of a numeric reference; U+FFFD for none, as HTML has it."""
+    hexes, digits = F.regexp_extract(m, "^&#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(m, "^&#0*([0-9]*)", 1)
+    number = F.when(m.rlike("^&#[xX]"), F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
+
+    def character(n: Column) -> Column:
+        bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        c1 = F.from_json(F.lit(json.dumps(_C1)), "map<string,string>")
+        return (
+            F.when(bad, F.lit("\ufffd"))
+            .when(n == 0xA0, F.lit(" "))
+            .when(n == 0xFEFF, F.lit("\ufeff"))  # alone it would be read as a byte order mark
+            .otherwise(F.coalesce(F.when(n.between(128, 159), F.element_at(c1, n.cast("string"))), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        )
+
+    return let(number.try_cast("int"), character)
+
+
+def _decoded(c: Column, reference: str = _REFERENCE) -> Column:
+    """Every character reference of HTML, in one pass: what a reference stands for is not read again. No-break spaces become blanks."""
+    names = _names()
+
+    def known(k: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, k.substr(1, 2)), k)
+
+    def named(k: Column) -> Column:
+        # of an unknown name with a semicolon the longest beginning that needs none counts, but not in attributes
+        start = F.regexp_extract(k, f"^({_OPEN})", 1) if reference == _REFERENCE else F.lit("")
+        short = let(start, lambda x: F.when(x != "", F.concat(known(x), k.substr(F.length(x) + 1, F.length(k)))))
+        return F.coalesce(known(k), short, F.concat(F.lit("&"), k))
+
+    return replace_each(c, reference, lambda m: F.when(m.startswith("&#"), _numbered(m)).otherwise(let(m.substr(F.lit(2), F.length(m)), named)))
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a page: without comments, scripts, styles and head; block tags end lines; entities decoded; blanks collapsed."""
+    """Text of a page: without comments, scripts, styles and head; block tags end lines; character references decoded; blanks collapsed."""
     c = html
     for p in _DROP:
         c = F.regexp_replace(c, p, "")
@@ -113,7 +164,7 @@ def derived(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     warc = F.col("warc")
     source, uri, date, digest = (_header(warc, h) for h in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest"))
     title = F.trim(F.regexp_replace(_decoded(F.regexp_extract("html", _TITLE, 1)), r"[ \t\r\n\f]+", " "))
-    links = F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), _decoded)
+    links = F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), lambda x: _decoded(x, _IN_ATTRIBUTE))
     meta = F.to_json(F.struct(warc.alias("warc_headers"), F.col("status").alias("http_status"), F.col("headers").alias("http_headers"), title.alias("title"), links.alias("links")))
     b = a.select(
         "id", source.alias("refers_to"), uri.alias("target_uri"), date.alias("warc_date"), digest.alias("payload_digest"),

@@ -173,3 +173,24 @@ def test_warc_bad_records(spark):
     records = spark.createDataFrame([(1, None), (2, ""), (3, "WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <x>\r\n\r\n"), (4, "WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (5, "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <y>\r\n\r\n\r\n\r\n"), (6, "HTTP/1.1 200 OK\r\n\r\n")], "page_id long, record string")
     assert sorted((r.page_id, r.warc_type, r.refers_to) for r in W.derived(records).collect()) == [(5, "conversion", "<y>"), (5, "metadata", "<y>")]
     assert W.derived(records.limit(0)).count() == 0
+
+
+def test_warc_character_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+
+    each = [f"&{k}" for k in sorted(html5)] + [f"&#{n};" for n in (9731, 128512, 0, 128, 150, 55296, 1114112, 99999999999)] + ["&#x1F600;", "&#X2603", "&#xFEFF;", "&#x0000041;", "&#65"]
+    each += ["&amp;copy;", "&amp;#169;", "&notit;", "&nosuch;", "&copy2024", "&", "&;", "&#;", "&#x;", "a & b", "&amp&lt;"]
+    got = spark.createDataFrame([(i, f"x{t}|") for i, t in enumerate(each)], "i int, html string").select("i", W.plain_text(F.col("html")).alias("t")).collect()
+    wrong = [(each[r.i], r.t, want) for r in got if r.t.replace("\n", " ") != (want := unescape(f"x{each[r.i]}|").replace("\xa0", " ").replace("\n", " "))]
+    assert not wrong
+    page = "<title>A &eacute; &#8212; &amp;lt;</title><a href='/q?a=1&copy=2&amp;b=&#x41;&eacute;'>&copy; x &middot; y</a>"
+    records = W.responses(spark.createDataFrame([(1, "http://a/", page)], "page_id long, url string, html string"))
+    by = {r.warc_type: r.block for r in W.derived(records).collect()}
+    assert "\u00a9 x \u00b7 y" in by["conversion"]
+    import json
+
+    meta = json.loads(by["metadata"])
+    assert meta["title"] == "A \u00e9 \u2014 &lt;" and meta["links"] == ["/q?a=1&copy=2&b=A\u00e9"]
