@@ -6,7 +6,7 @@ A lexer that suits source code and configuration alike turns a text into name-li
 literals, references to names that were assigned before (also `${name}` inside a literal), and
 `+`, `.` or blank between them; so constants reach the name they end in. A pair's score is the
 sensitivity of its name times the strength of its value; values that look like placeholders,
-paths or plain words score low. What is reported, and redacted, is every literal that went into
+paths or plain words score low, private keys and passphrases don't. What is reported, and redacted, is every literal that went into
 the value.
 """
 
@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 REDACTED = "[REDACTED]"
 #: A text without a match of both holds no assignment to a sensitive name; the second is searched for in lower case, without - and _.
 _OPERATORS = ("=", ":", ">")
-_STEMS = sorted({k.replace("_", "") for k in SENSITIVE})
+_STEMS = sorted({k.replace("_", "") for k in SENSITIVE} | {"pass"})
 
 #: Possessive, and begun only where no name is under way, so that a long run of letters is read once.
 _NAME = r"(?<![A-Za-z0-9_$@])(?<![A-Za-z0-9_$@][.\-])[A-Za-z_$@][A-Za-z0-9_$@]*+(?:[.\-][A-Za-z0-9_$@]++|\[[A-Za-z0-9_$@]++\])*+"
@@ -43,18 +43,52 @@ _PART = re.compile(rf"(?P<string>[bruRfF]{{0,2}}(?:{_STRING}))|(?P<ref>(?:\$\{{?
 _BARE = re.compile(r"[^\s,;<>(){}\[\]\"'`]+")
 _REFERENCE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")
 _INNER = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)")
-_DULL = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\{.*\}|\$.*|%.*%|change.?me|your.*|example.*|placeholder|none|null|true|false|todo|dummy|test(?:ing)?|default|undefined|string|\[redacted\])$|://[^@]*$|^(?:/|\./|[A-Za-z]:\\)")
+_DULL = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\{.*\}|\$\{.*\}|\$\(.*\)|%.*%|change.?me|placeholder|none|null|true|false|todo|dummy|test(?:ing)?|default|undefined|string|\[redacted\])$|://[^@]*$")
+#: Dull only if what they are made of are words: a random value may begin with these too.
+_PATH = re.compile(r"/|\./|[A-Za-z]:\\")
+_VARIABLE = re.compile(r"\$[A-Za-z_][\w.:>\-\[\]'\"]*")
+_SAMPLE = re.compile(r"(?i)your|example")
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: `pass` as a word of its own in a name: DB_PASS, dbPass, smtp.pass; not passage, bypass.
+_PASS = re.compile(r"(?:^|[^A-Za-z])(?i:pass)(?![A-Za-z])|[a-z]Pass(?![a-z])|(?:^|[^A-Za-z])pass(?=[A-Z])")
+_SCHEME = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+")
+_PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+#: A private key without quotes, after the sign of a block, or in quotes that end on another line.
+_PEM = re.compile(r"""["'`]?(?:[|>][-+]?[ \t]*\n\s*)?(?P<pem>-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S])*+(?:-----END [A-Z0-9 ]*-----)?)""")
+#: Names that end so, and values with such words, are what a user is told, not a passphrase.
+_ABOUT = re.compile(r"(?i)(?:label|hint|message|msg|error|text|title|placeholder|help|description|prompt|name|url|type|field|regex|pattern|policy|rules?)s?$")
+_TOLD = re.compile(r"(?i)\b(?:please|enter|type|your|passwords?|passphrase|must|should|required?|invalid|incorrect|wrong|forgot(?:ten)?|reset|confirm|missing|expired|failed)\b|[<>{}%]|[\r\n]")
 
 
 def sensitivity(name: str) -> float:
     flat = re.sub("author(?!i)", "", name.lower().replace("-", "_"))
     bare = flat.replace("_", "")
-    return max((w for k, w in SENSITIVE.items() if k in flat or k.replace("_", "") in bare), default=0.0)
+    return max((w for k, w in SENSITIVE.items() if k in flat or k.replace("_", "") in bare), default=0.9 if _PASS.search(name) else 0.0)
+
+
+def _wordy(s: str) -> bool:
+    """Whether letters and digits come in runs as long as those of words: of random ones a run has hardly two."""
+    runs = _PIECE.findall(s)
+    return sum(map(len, runs)) >= 2.75 * len(runs)
+
+
+def _dull(value: str) -> bool:
+    if _DULL.search(value):
+        return True
+    if m := _PATH.match(value):
+        return all(len(x) <= 3 or _wordy(x) for x in re.split(r"[\\/]", value[m.end() :]))
+    if m := _SAMPLE.match(value):
+        return _wordy(value[m.end() :])
+    return bool(_VARIABLE.fullmatch(value)) and _wordy(value)
 
 
 def strength(value: str) -> float:
-    """0 to 1: grows with length and with entropy a character; 0 for placeholders, short values, and values of one plain word or several."""
-    if len(value) < 8 or _DULL.search(value) or re.search(r"\s", value):
+    """0 to 1: grows with length and with entropy a character; 0 for placeholders, paths, short values, and values of one plain word or several."""
+    return 0.0 if re.search(r"\s", value) else _entropy(value)
+
+
+def _entropy(value: str) -> float:
+    if len(value) < 8 or _dull(value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -64,6 +98,21 @@ def strength(value: str) -> float:
     return max(0.0, min(1.0, (bits - 1.0) / 2.0)) * min(1.0, 0.5 + n / 32)
 
 
+def score(name: str, value: str) -> float:
+    """Sensitivity times strength. Private keys are strong; a token counts without its scheme; words with blanks between
+    them count as a passphrase unless name or value tell that they are addressed to a user."""
+    if not (weight := sensitivity(name)):
+        return 0.0
+    if _PRIVATE.search(value):
+        return weight
+    value = value.strip()
+    if m := _SCHEME.match(value):
+        value = value[m.end() :]
+    if re.search(r"\s", value):
+        return 0.0 if _ABOUT.search(name) or _TOLD.search(value) or "-----BEGIN" in value else weight * _entropy(value)
+    return weight * strength(value)
+
+
 def _unquoted(s: str) -> tuple[str, int]:
     """The inside of a string token, and where it begins."""
     at = re.match("[bruRfF]{0,2}", s).end()
@@ -84,11 +133,11 @@ def findings(text: str) -> list[tuple[str, int, int, float, str]]:
         at = max(at, end) if spans else at
         short = re.split(r"[.\[\]]+", name.strip("]"))[-1].lstrip("$@")
         known[name] = known[short] = (value, spans)
-        score = sensitivity(name) * strength(value)
-        if score >= THRESHOLD:
+        points = score(name, value)
+        if points >= THRESHOLD:
             for s, n in spans:
-                if n and ((s, n) not in best or best[s, n][3] < score):
-                    best[s, n] = (name, s, n, round(score, 4), value)
+                if n and ((s, n) not in best or best[s, n][3] < points):
+                    best[s, n] = (name, s, n, round(points, 4), value)
     return sorted(best.values(), key=lambda f: f[1])
 
 
@@ -114,6 +163,10 @@ def _value(text: str, at: int, known: dict, bare: bool) -> tuple[str, list[tuple
                 break
             value, spans = value + got[0], [*spans, *got[1]]
         at = end = p.end()
+    if not spans and (p := _PEM.match(text, at)):
+        return p["pem"], [(p.start("pem"), len(p["pem"]))], p.end()
+    if not spans and bare and (m := _SCHEME.match(text, at)) and (b := _BARE.match(text, m.end())) and not text.startswith(("(", "["), b.end()):
+        return b[0].rstrip("."), [(b.start(), len(b[0].rstrip(".")))], b.end()
     if not spans and bare and (b := _BARE.match(text, at if not value else end)):
         word = b[0].rstrip(".")
         if not text.startswith(("(", "["), b.end()) and not _REFERENCE.fullmatch(word):  # calls, subscripts and attributes aren't literals
