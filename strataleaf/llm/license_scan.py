@@ -65,7 +65,8 @@ TEMPLATES = {
         RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE<<endOptional>>""",
 }
 
-_MARK = re.compile(r'<<(beginOptional|endOptional|var)[^>]*?(?:match="\.\{(\d+),(\d+)\}")?\s*>>')
+#: Values of attributes are quoted and may hold any character, > too.
+_MARK = re.compile(r'<<(beginOptional|endOptional|var)(?:"[^"]*"|[^>"])*?(?:match="\.\{(\d+),(\d+)\}")?\s*>>')
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense"}
 
@@ -83,7 +84,9 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def parse(template: str) -> list:
-    """A sequence of tokens, of ("any", lo, hi) and of ("optional", sequence)."""
+    """A sequence of tokens, of ("any", lo, hi) and of ("optional", sequence). Markup that isn't understood is an error."""
+    if "<<" in (left := _MARK.sub("", template)):
+        raise ValueError(f"not understood: {left[left.index('<<') :][:80]}")
     stack: list[list] = [[]]
     at = 0
     for m in _MARK.finditer(template):

@@ -214,3 +214,27 @@ def test_notices_of_other_versions_and_names():
     assert [k for k, _, _ in L.matches("This is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.")] == ["GPL-3.0-notice"]
     assert L.matches((GPL % (("This program",) * 3)).replace("version 3", "version 2")) == []
     assert L.matches(CC.replace("4.0", "3.0")) == [] and L.matches(CC.replace("NonCommercial", "ShareAlike")) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Ann Other\n\n" + LICENSE + MIT_END, "MIT"),
+        ("MIT License\n\nCopyright (c) 2019-2021 Ann Other and contributors. All rights reserved.\n\n" + LICENSE + MIT_END, "MIT"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2020, Ann Other\nAll rights reserved.\n\n" + BSD % CLAUSE_3, "BSD-3-Clause"),
+        ("Copyright 2020 Ann Other\n\n" + BSD % "", "BSD-2-Clause"),
+        ("ISC License\n\nCopyright (c) 2020 Ann Other <ann@example.org>\n\n" + ISC, "ISC"),
+    ],
+)
+def test_title_and_copyright_belong_to_the_match(text, want):
+    n = len(L.tokens(text))
+    assert L.matches("before it " + text) == [(want, 2, n)]
+    c = duckdb.connect()
+    c.execute("create table documents as select 1 as doc_id, ? as text", ["before it " + text])
+    assert c.sql(L.sql()).fetchall() == [(1, want, 1, 2, n)]
+
+
+def test_unknown_markup_is_an_error():
+    assert L.parse('a <<var;name="x";original="<y> >> z";match=".{0,2}">> b') == ["a", ("any", 0, 2), "b"]
+    with pytest.raises(ValueError, match="not understood"):
+        L.parse("a <<alt>> b")
