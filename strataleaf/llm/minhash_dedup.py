@@ -148,7 +148,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, values, offsets in _parts(batches):
         doc, shingle, count = multisets(values, offsets)
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        element = mix(np.repeat(shingle, count) + (nth.astype(np.uint64) << _HASH_BITS))
+        element = mix(np.repeat(mix(shingle), count) + nth.astype(np.uint64))
         sizes = np.bincount(doc, weights=count, minlength=len(part)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([part.column("id"), _list_array(element.view(np.int64), sizes)], ["id", "elements"])
 

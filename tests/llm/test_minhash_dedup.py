@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from strataleaf.llm import minhash_dedup as M
@@ -109,3 +110,15 @@ def test_rows_of_one_id(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (1, None), (2, "v w x y z")], "doc_id long, text string")
     assert [(r.doc_id, r.duplicate_of) for r in M.near_duplicates(docs).collect()] == [(2, 1)]
     assert [r.text is None for r in M.deduplicated(docs).orderBy("text").collect()] == [True, False]
+
+
+def test_every_occurrence_is_an_element():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[7] * 200_002 + [8, 9]], pa.list_(pa.int64()))], ["id", "hashes"])
+    elements = next(M._elements(iter([batch]))).column("elements")[0].as_py()
+    assert len(elements) == len(set(elements)) == 200_002
+
+
+def test_one_shingle_repeated_very_often(spark):
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, long + "here it ends"), (2, long + "another last line"), (3, "word " * 70_000 + "short")], "doc_id long, text string")
+    assert [tuple(r) for r in M.near_duplicates(docs).collect()] == [(2, 1)]
