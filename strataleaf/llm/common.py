@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured bytes stay below this; else the join shuffles.
@@ -33,25 +33,56 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read again: computed once, its lineage cut."""
+def written(df: DataFrame, tag: str, also: Column | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: computed once, its lineage cut.
+
+    Its rows are counted while it is written, for small(); `also` is an aggregate taken on the way. Both
+    are kept in _sl_seen.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataleaf-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), (F.max(F.lit(0)) if also is None else also).alias("also")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sl_path, out._sl_seen = path, seen.get
+    return out
+
+
+def spent(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that written() returned; nothing that still needs it may be computed later."""
+    _delete(df.sparkSession, df._sl_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Results that were not yet computed need them."""
-    path = f"{shared_dir(spark)}/strataleaf-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark, f"{shared_dir(spark)}/strataleaf-{spark.sparkContext.applicationId}")
+
+
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 8 << 20
+_DEFAULT_BATCH = "67108864b"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df itself; its session cuts batches for Python by bytes, at BATCH_BYTES, unless it was given a limit of its own.
+
+    By Spark's defaults, long texts make batches that grow with them, on both sides.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == _DEFAULT_BATCH:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def small(df: DataFrame, bytes_per_row: int, cap: int = BROADCAST_BYTES) -> DataFrame:
-    """df, with a broadcast hint if its counted rows fit cap. df should be cheap to count: a written table."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= cap else df
+    """df, with a broadcast hint if its counted rows fit cap. df should be cheap to count: a written table, whose rows are known."""
+    rows = getattr(df, "_sl_seen", {}).get("rows")
+    return F.broadcast(df) if (df.count() if rows is None else rows) * bytes_per_row <= cap else df
 
 
 def n_words(text: Column) -> Column:
@@ -64,12 +95,11 @@ def n_words_sql(text: str) -> str:
     return f"CAST(COALESCE(len(regexp_extract_all({text}, '[^ \\t\\r\\n]+')), 0) AS BIGINT)"
 
 
-def chunks(offsets, most: int):
-    """Cut rows, given the offsets of their values, where a run of rows passes `most` values: pairs of row numbers."""
+def chunks(offsets, most: int, rows: int = 1 << 62):
+    """Cut rows, given the offsets of their values, where a run of rows passes `most` values or `rows` rows: pairs of row numbers."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = at + 1
-        while to < n and offsets[to + 1] - offsets[at] <= most:
-            to += 1
+        # the last row that ends within `most` values of where this run begins, or the one row that is longer
+        to = min(max(int(offsets.searchsorted(offsets[at] + most, "right")) - 1, at + 1), at + rows, n)
         yield at, to
         at = to
