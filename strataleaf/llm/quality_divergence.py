@@ -10,16 +10,16 @@ is no evidence of a strange distribution.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from strataleaf.llm.common import small, written
+from strataleaf.llm.common import chunks, in_small_batches, small, written
 
 #: Classes of characters: ASCII small letters, capitals, digits, blank space, these sentence marks, other ASCII; all else.
 MARKS = ".,;:!?'\"()-"
@@ -32,104 +32,214 @@ COMMON = {
 MIN_WORDS = 10
 CLASS_LIMIT, WORD_LIMIT, NOISE = 0.2, 0.05, 1.5
 
+#: Bytes of text that are worked on at a time.
+PART = 2 << 20
 _KINDS, _WIDTH = 7, 26  # bins: the classes; then the common words and all other words
 
-_CLASS = np.full(256, 6, np.uint8)
+_CLASS = bytearray([6]) * 256
 for _c in range(128):
     _ch = chr(_c)
     _CLASS[_c] = 0 if "a" <= _ch <= "z" else 1 if "A" <= _ch <= "Z" else 2 if "0" <= _ch <= "9" else 3 if _ch in " \t\r\n" else 4 if _ch in MARKS else 5
-_CLASS[0x80:0xC0] = 7  # the second and later bytes of a character
+_CLASS[0x80:0xC0] = bytes([7]) * 64  # the second and later bytes of a character
 #: Words are runs of ASCII letters and of all characters beyond ASCII; only ASCII capitals are lowered.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def histogram(text: bytes, lang: str | None) -> np.ndarray:
-    """Counts of the classes, of the language's common words in their order, and of other words in the last place."""
-    out = np.zeros(_KINDS + _WIDTH, np.int64)
-    out[:_KINDS] = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=8)[:_KINDS]
-    found = Counter(text.translate(_WORD).split())
-    for i, w in enumerate(_BYTES.get(lang, ())):
-        out[_KINDS + i] = found.get(w, 0)
-    out[-1] = found.total() - out[_KINDS:].sum()
+class Lexicon:
+    """Common words by language, looked up by their first eight bytes read as one number; longer words aren't supported."""
+
+    def __init__(self, common: dict[str, list[str]]) -> None:
+        each = {k: [w.encode() for w in v] for k, v in common.items()}
+        if any(not 0 < len(w) <= 8 or len(v) >= _WIDTH for v in each.values() for w in v):
+            raise ValueError(f"common words have 1 to 8 bytes, and a language at most {_WIDTH - 1} of them")
+        self.langs = {k: i + 1 for i, k in enumerate(each)}  # 0: a language without a list
+        words = sorted({int.from_bytes(w, "little") for v in each.values() for w in v})
+        place = {w: i + 1 for i, w in enumerate(words)}
+        #: by language and word: the word's bin; the last bin is that of all other words
+        self.bins = np.full((len(each) + 1, len(words) + 1), _WIDTH - 1, np.int64)
+        for k, v in each.items():
+            for i, w in enumerate(v):
+                self.bins[self.langs[k], place[int.from_bytes(w, "little")]] = i
+        #: a hash table without collisions: slot -> word and its number, 0 where empty
+        keys, self.bits, self.magic = np.array(words, np.uint64), 12, np.uint64(0x9E3779B97F4A7C15)
+        while len({int(x) for x in (keys * self.magic) >> np.uint64(64 - self.bits)}) < len(keys):
+            self.magic = self.magic * np.uint64(0xD1342543DE82EF95) + np.uint64(2)
+            self.bits += self.bits < 20
+        self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+        at = (keys * self.magic) >> np.uint64(64 - self.bits)
+        self.keys[at], self.numbers[at] = keys, np.arange(1, len(keys) + 1)
+
+    def number(self, key: np.ndarray) -> np.ndarray:
+        at = (key * self.magic) >> np.uint64(64 - self.bits)
+        return np.where(self.keys[at] == key, self.numbers[at], 0)
+
+
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)  # the first n bytes of eight
+
+
+def histograms(data: bytes, offsets: np.ndarray, langs: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """Rows x bins of the texts data[offsets[i]:offsets[i + 1]]: counts of the classes, then of the language's common words and, last, other words."""
+    n = len(offsets) - 1
+    out = np.zeros((n, _KINDS + _WIDTH), np.int64)
+    kinds = np.frombuffer(data.translate(_CLASS), np.uint8)
+    for i in range(n):
+        out[i, :_KINDS] = np.bincount(kinds[offsets[i] : offsets[i + 1]], minlength=8)[:_KINDS]
+    flat = np.frombuffer(data.translate(_WORD) + b" " * 8, np.uint8)
+    edge = np.diff((flat != 32).view(np.int8), prepend=np.int8(0))
+    inner = offsets[1:-1]
+    split = inner[(inner > 0) & (flat[inner] != 32) & (flat[np.maximum(inner - 1, 0)] != 32)] if len(data) else inner[:0]  # a text ends in a word, and the next one begins with one
+    start = np.flatnonzero(edge == 1)
+    end = np.flatnonzero(edge == -1)
+    if len(split):
+        split = np.unique(split)
+        start, end = np.sort(np.concatenate((start, split))), np.sort(np.concatenate((end, split)))
+    row = np.searchsorted(offsets, start, "right") - 1 if len(start) else start
+    length = end - start
+    fits = length <= 8
+    window = np.lib.stride_tricks.as_strided(flat, (max(len(flat) - 7, 0), 8), (1, 1))
+    key = np.ascontiguousarray(window[start[fits]]).view("<u8").reshape(-1) & _LOW[length[fits]]
+    lang = np.array([lexicon.langs.get(k, 0) for k in langs], np.int64)
+    at = row[fits]
+    bins = lexicon.bins[lang[at], lexicon.number(key)]
+    words = np.bincount(at * _WIDTH + bins, minlength=n * _WIDTH).reshape(n, _WIDTH)
+    words[:, -1] += np.bincount(row[~fits], minlength=n)
+    out[:, _KINDS:] = words
     return out
 
 
-_BYTES = {k: [w.encode() for w in v] for k, v in COMMON.items()}
+def _parts(text: pa.Array, langs: pa.Array, lexicon: Lexicon):
+    """(from, to, histograms) of a column, in parts of bounded size but for a single long text. Nulls count as empty."""
+    text = text.cast(pa.large_string())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data, names = text.buffers()[2], langs.to_pylist()
+    for a, b in chunks(offsets, PART):
+        own = offsets[a : b + 1]
+        yield a, b, histograms(data[int(own[0]) : int(own[-1])].to_pybytes() if data else b"", own - own[0], names[a:b], lexicon)
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _histograms(text: pa.Array, lang: pa.Array) -> pa.Array:
-    width = _KINDS + _WIDTH
-    rows = [histogram(t.as_buffer().to_pybytes() if t.is_valid else b"", k) for t, k in zip(text, lang.to_pylist(), strict=True)]
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(flat))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.zeros((0, _KINDS + _WIDTH), np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), _KINDS + _WIDTH).cast(pa.list_(pa.int64()))
 
 
-def _total(h: Column) -> Column:
-    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts p from that of q; 0 if either is all zero."""
+    np_, nq = p.sum(1, keepdims=True), q.sum(1, keepdims=True)
+    x, y = p / np.maximum(np_, 1), q / np.maximum(nq, 1)
+    m = np.maximum((x + y) / 2, 1e-300)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total = (np.where(x > 0, x * np.log2(x / m), 0.0) + np.where(y > 0, y * np.log2(y / m), 0.0)).sum(1)
+    return np.where((np_ == 0) | (nq == 0), 0.0, np.sqrt(np.maximum(total / 2, 0.0))[:, None])[:, 0]
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; 0 if either is all zero."""
-    np_, nq = _total(p), _total(q)
+def _limit(base: float, bins: int, n: np.ndarray) -> np.ndarray:
+    return base + NOISE * np.sqrt((bins - 1) / (8 * np.log(2) * np.maximum(n, 1)))
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    def both(x: Column, y: Column) -> Column:
-        x, y = x / np_, y / nq
-        return term(x, (x + y) / 2) + term(y, (x + y) / 2)
+def judged(own: np.ndarray, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, distance of classes, distance of words, whether the document passes) of rows of histograms and their references."""
+    chars, n = own[:, :_KINDS].sum(1), own[:, _KINDS:].sum(1)
+    kinds, words = js_distance(own[:, :_KINDS], all_[:, :_KINDS]), js_distance(own[:, _KINDS:], all_[:, _KINDS:])
+    far = (kinds > _limit(CLASS_LIMIT, _KINDS, chars)) | (words > _limit(WORD_LIMIT, _WIDTH, n))
+    return n, kinds, words, (n > 0) & ((n < MIN_WORDS) | ~far)
 
-    total = F.aggregate(F.zip_with(p, q, both), F.lit(0.0), lambda a, x: a + x)
-    return F.when((np_ == 0) | (nq == 0), F.lit(0.0)).otherwise(F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
+def _matrix(lists: pa.Array, n: int) -> np.ndarray:
+    """Lists of all bins as rows; a null list is a reference of nothing."""
+    lists = pc.fill_null(lists, pa.scalar([0] * (_KINDS + _WIDTH), lists.type))
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
-def references(docs: DataFrame) -> DataFrame:
-    """(_sl_ref, _sl_all): the summed histogram of each language, over all documents. Null is a language of its own, ''."""
-    h = docs.select(F.coalesce("lang", F.lit("")).alias("_sl_ref"), _histograms(F.col("text"), F.col("lang")).alias("h"))
+
+def _udf_histogram(lexicon: Lexicon):
+    @F.arrow_udf(ArrayType(LongType()))
+    def histogram(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return _lists([h for _, _, h in _parts(text, lang, lexicon)])
+
+    return histogram
+
+
+def _udf_passes(lexicon: Lexicon):
+    @F.arrow_udf(BooleanType())
+    def passes(text: pa.Array, lang: pa.Array, reference: pa.Array) -> pa.Array:
+        all_ = _matrix(reference, len(text))
+        ok = [judged(h, all_[a:b])[3] for a, b, h in _parts(text, lang, lexicon)]
+        return pa.array(np.concatenate(ok) if ok else np.zeros(0, bool))
+
+    return passes
+
+
+_JUDGED = StructType([StructField("n_words", LongType()), StructField("class_js", DoubleType()), StructField("word_js", DoubleType()), StructField("ok", BooleanType())])
+
+
+@F.arrow_udf(_JUDGED)
+def _judge(own: pa.Array, reference: pa.Array) -> pa.Array:
+    n, kinds, words, ok = judged(_matrix(own, len(own)), _matrix(reference, len(own)))
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(kinds), pa.array(words), pa.array(ok)], _JUDGED.names)
+
+
+def _by_language(h: DataFrame) -> DataFrame:
+    """(_sl_ref, _sl_all) of (lang, h): null is a language of its own, ''."""
     sums = [F.sum(F.col("h")[i]) for i in range(_KINDS + _WIDTH)]
-    return written(h.groupBy("_sl_ref").agg(F.array(*sums).alias("_sl_all")), "references")
+    return written(h.groupBy(F.coalesce("lang", F.lit("")).alias("_sl_ref")).agg(F.array(*sums).alias("_sl_all")), "references")
+
+
+def references(docs: DataFrame, common: dict[str, list[str]] = COMMON) -> DataFrame:
+    """(lang, histogram): the summed histogram of each language, over all documents given; null counts as ''.
+
+    Summed up inside Python per batch, so that what leaves it is a few rows.
+    """
+    lexicon = Lexicon(common)
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
+            for a, b, h in _parts(batch.column("text"), batch.column("lang"), lexicon):
+                for k in dict.fromkeys(names[a:b]):
+                    sums[k] = sums.get(k, 0) + h[names[a:b] == k].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), _lists([np.stack(list(sums.values()))] if sums else [])], ["lang", "h"])
 
-def scored(docs: DataFrame) -> DataFrame:
-    """docs with _sl_words, _sl_class_js, _sl_word_js and _sl_ok."""
-    ref = small(references(docs), 8 * (_KINDS + _WIDTH) + 64)
-    with_h = docs.withColumn("_sl_h", _histograms(F.col("text"), F.col("lang"))).join(ref, F.coalesce("lang", F.lit("")) == F.col("_sl_ref"), "left")
-    own, all_ = F.col("_sl_h"), F.col("_sl_all")
-    kinds, words = (1, _KINDS), (_KINDS + 1, _WIDTH)
-    out = with_h.withColumns(
-        {
-            "_sl_chars": _total(F.slice(own, *kinds)),
-            "_sl_words": _total(F.slice(own, *words)),
-            "_sl_class_js": js_distance(F.slice(own, *kinds), F.slice(all_, *kinds)),
-            "_sl_word_js": js_distance(F.slice(own, *words), F.slice(all_, *words)),
-        }
-    )
-    far = (F.col("_sl_class_js") > _limit(CLASS_LIMIT, _KINDS, F.col("_sl_chars"))) | (F.col("_sl_word_js") > _limit(WORD_LIMIT, _WIDTH, F.col("_sl_words")))
-    return out.withColumn("_sl_ok", (F.col("_sl_words") > 0) & ((F.col("_sl_words") < MIN_WORDS) | ~far))
+    partial = in_small_batches(docs).select("text", "lang").mapInArrow(add_up, "lang string, h array<long>")
+    return _by_language(partial).select(F.col("_sl_ref").alias("lang"), F.col("_sl_all").alias("histogram"))
 
 
-def _limit(base: float, bins: int, n: Column) -> Column:
-    return base + NOISE * F.sqrt((bins - 1) / (8 * np.log(2) * F.greatest(n, F.lit(1))))
+def _with_reference(docs: DataFrame, reference: DataFrame) -> DataFrame:
+    """docs with _sl_all, that of their language, or null."""
+    ref = small(reference.select(F.col("lang").alias("_sl_ref"), F.col("histogram").alias("_sl_all")), 8 * (_KINDS + _WIDTH) + 64)
+    return docs.join(ref, F.coalesce("lang", F.lit("")) == F.col("_sl_ref"), "left")
 
 
-def kept(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, reference: DataFrame | None = None, common: dict[str, list[str]] = COMMON) -> DataFrame:
     """The rows of docs that pass, with the columns of docs.
 
+    reference: (lang, histogram), as references() makes it, of texts that are known to be good; a
+    language that it lacks isn't judged but for having words. Without one it is that of docs
+    themselves, good and bad: then what most of a language's text is like passes.
+
     A null, empty or wordless text is rejected. A null language is a language of its own; one
     without a list of common words is judged by its character classes alone. Repeated rows are
     judged each, and alike. An empty table gives an empty table.
+
+    Texts are read twice, to sum up the references and to judge, and aren't moved.
     """
-    return scored(docs).where("_sl_ok").select(*docs.columns)
+    reference = references(docs, common) if reference is None else reference
+    passes = _udf_passes(Lexicon(common))
+    return _with_reference(docs, reference).where(passes(F.col("text"), F.col("lang"), F.col("_sl_all"))).select(*docs.columns)
 
 
-def decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, class_js, word_js) of the documents that pass; distances to 4 places."""
-    return (
-        scored(docs.select("doc_id", "text", "lang"))
-        .where("_sl_ok")
-        .select("doc_id", "lang", F.col("_sl_words").alias("n_words"), F.round("_sl_class_js", 4).alias("class_js"), F.round("_sl_word_js", 4).alias("word_js"))
-    )
+def decisions(docs: DataFrame, reference: DataFrame | None = None, common: dict[str, list[str]] = COMMON) -> DataFrame:
+    """(doc_id, lang, n_words, class_js, word_js) of the documents that pass; distances to 4 places. Judged as kept() does.
+
+    Texts are read once, into a table of histograms, which serves the references and the distances.
+    """
+    histogram = _udf_histogram(Lexicon(common))
+    own = written(in_small_batches(docs).select("doc_id", "lang", histogram(F.col("text"), F.col("lang")).alias("h")), "histograms")
+    if reference is None:
+        reference = _by_language(own.select("lang", "h")).select(F.col("_sl_ref").alias("lang"), F.col("_sl_all").alias("histogram"))
+    found = _with_reference(own, reference).select("doc_id", "lang", _judge(F.col("h"), F.col("_sl_all")).alias("j"))
+    # ok is asked after the struct has been made once
+    each = found.select("doc_id", "lang", F.explode(F.array("j")).alias("j")).where("j.ok")
+    return each.select("doc_id", "lang", "j.n_words", F.round("j.class_js", 4).alias("class_js"), F.round("j.word_js", 4).alias("word_js"))
 
 
 def _sql_list(words: list[str]) -> str:

@@ -11,6 +11,7 @@ from strataleaf.llm import quality_divergence as Q
 from strataleaf.llm.common import written
 from tests.conftest import SF
 from tests.llm.test_minhash_dedup import brute, groups
+from tests.llm.test_quality_divergence import histogram
 
 
 def js(p, q):
@@ -23,7 +24,7 @@ def js(p, q):
 
 
 def passing(rows):
-    hist = [Q.histogram((r.text or "").encode(), r.lang) for r in rows]
+    hist = [histogram(r.text or "", r.lang) for r in rows]
     total = {}
     for r, h in zip(rows, hist, strict=True):
         total[r.lang] = total.get(r.lang, 0) + h

@@ -1,14 +1,43 @@
+import re
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from strataleaf.llm import quality_divergence as Q
 
 
+def histogram(text, lang, common=Q.COMMON):
+    """One text's counts, plainly."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    found = Counter(re.findall(r"[a-z\u0080-\U0010ffff]+", low))
+    kinds = Counter(0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\r\n" else 4 if c in Q.MARKS else 5 if c < "\x80" else 6 for c in text)
+    words = [found[w] for w in common.get(lang, [])]
+    words += [0] * (Q._WIDTH - 1 - len(words))
+    return np.array([kinds[k] for k in range(Q._KINDS)] + [*words, found.total() - sum(words)])
+
+
 def test_histogram_counts():
-    h = Q.histogram("The the, of\n4 É!*".encode(), "en").tolist()
-    assert h[: Q._KINDS] == [7, 1, 1, 4, 2, 1, 1]
-    common = dict(zip(Q.COMMON["en"], h[Q._KINDS :], strict=False))
-    assert common["the"] == 2 and common["of"] == 1 and h[-1] == 1
+    texts = ["The the, of\n4 \u00c9!*", "", "the", "of", "m\u00e1s o", "x" * 30 + " nicht", "le", "der", "\U0001f600", "the-the", "THE"]
+    langs = ["en", "en", "en", "en", "es", "de", "fr", None, "de", "en", "en"]
+    data = [t.encode() for t in texts]
+    got = Q.histograms(b"".join(data), np.append(0, np.cumsum([len(d) for d in data])), langs, Q.Lexicon(Q.COMMON))
+    for g, t, k in zip(got, texts, langs, strict=True):
+        assert g.tolist() == histogram(t, k).tolist(), t
+    with pytest.raises(ValueError):
+        Q.Lexicon({"en": ["ninebytes"]})
+
+
+def test_reference_of_good_texts(spark):
+    good = "the river was wide and the boat that it held was of old wood and for the most part dry when he stood on it "
+    junk = "#$ 123 ;; @@ 99 == && 17 ~~ | zz 42 " * 12
+    # most of the language is junk, so by its own reference junk passes; by that of good texts it doesn't
+    docs = spark.createDataFrame([(i, junk, "en") for i in range(9)] + [(9, good, "en"), (10, good, "xx")], "doc_id long, text string, lang string")
+    reference = Q.references(docs.where("doc_id = 9"))
+    assert {r.doc_id for r in Q.kept(docs).collect()} >= set(range(9))
+    assert {r.doc_id for r in Q.kept(docs, reference).collect()} == {9, 10}
+    assert {r.doc_id for r in Q.decisions(docs, reference).collect()} == {9, 10}
 
 
 def test_edge_cases(hard, nothing, clashing):
