@@ -16,7 +16,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.functions.text import let, replace_each
+from strataleaf.functions.text import let
 
 _CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -73,20 +73,23 @@ def _header(headers: Column, name: str) -> Column:
     return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
-_DROP = (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<(head|noscript|template)\b[^>]*>.*?</(head|noscript|template)\s*>")
-_BREAK = r"(?i)</?(p|div|br|hr|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|main|aside|pre|blockquote|form|dl|dt|dd|title|body)\b[^>]*>"
-_TAG = r"<[!/?a-zA-Z][^>]*>"
-#: The entities that the SQL decodes; the operator decodes all.
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: What isn't text: comments, and elements with all they hold, to the end of the page where they aren't closed. A head that isn't closed
+#: ends where the body begins.
+_DROP = r"(?is)<(?:!--.*?(?:-->|\z)|(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\z)|head\b[^>]*>.*?(?:</head\s*>|(<body\b)|\z))"
+_BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|main|aside|pre|blockquote|form|dl|dt|dd|title|body"
+#: Tags that end no line; what is left after them are tags that do.
+_INLINE = rf"(?i)<(?!/?(?:{_BLOCKS})\b)[!/?a-z][^>]*>"
+_BREAK = r"<[!/?a-zA-Z][^>]*>"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
 #: Names that count without a semicolon too, longest first, and what may be a character reference in text.
 _OPEN = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
-_REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN}))"
+#: A reference as it follows an ampersand.
+_REFERENCE = rf"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN}))"
 #: In attributes a name without semicolon counts only if the next character couldn't belong to it: ?a=1&copy=2 stays.
-_IN_ATTRIBUTE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN})(?![A-Za-z0-9=]))"
+_IN_ATTRIBUTE = rf"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN})(?![A-Za-z0-9=]))"
 #: Numbers 128 to 159 mean the characters of windows-1252 that have those bytes.
 _C1 = {str(b): c for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore"))}
 
@@ -101,8 +104,8 @@ def _names() -> Column:
 
 def _numbered(m: Column) -> Column:
     """The character of a numeric reference; U+FFFD for none, as HTML has it."""
-    hexes, digits = F.regexp_extract(m, "^&#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(m, "^&#0*([0-9]*)", 1)
-    number = F.when(m.rlike("^&#[xX]"), F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
+    hexes, digits = F.regexp_extract(m, "^#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(m, "^#0*([0-9]*)", 1)
+    number = F.when(m.rlike("^#[xX]"), F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
 
     def character(n: Column) -> Column:
         bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
@@ -130,17 +133,29 @@ def _decoded(c: Column, reference: str = _REFERENCE) -> Column:
         short = let(start, lambda x: F.when(x != "", F.concat(known(x), k.substr(F.length(x) + 1, F.length(k)))))
         return F.coalesce(known(k), short, F.concat(F.lit("&"), k))
 
-    return replace_each(c, reference, lambda m: F.when(m.startswith("&#"), _numbered(m)).otherwise(let(m.substr(F.lit(2), F.length(m)), named)))
+    def piece(x: Column) -> Column:
+        """What follows an ampersand."""
+        found = F.regexp_extract(x, reference, 0)
+        decoded = lambda m: F.when(m == "", F.lit("&")).when(m.startswith("#"), _numbered(m)).otherwise(named(m))
+        return let(found, lambda m: F.concat(decoded(m), x.substr(F.length(m) + 1, F.length(x))))
+
+    whole = F.transform(F.split(c, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(piece(x)))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(whole, "")).otherwise(c)
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: without comments, scripts, styles and head; block tags end lines; character references decoded; blanks collapsed."""
-    c = html
-    for p in _DROP:
-        c = F.regexp_replace(c, p, "")
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\n\f]+", " "), _BREAK, "\n")
-    c = _decoded(F.regexp_replace(c, _TAG, ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, " *\n[ \n]*", "\n"), "^\n+|\n+$", ""))
+    c = F.regexp_replace(html, _DROP, "$2")
+    c = F.regexp_replace(F.regexp_replace(c, _INLINE, ""), r"[ \t\r\n\f]+", " ")
+    c = F.replace(F.regexp_replace(c, _BREAK, "\n"), F.lit(" \n"), F.lit("\n"))
+    c = F.regexp_replace(c, r"\n[ \n]+", "\n")  # no group is repeated anywhere: Java takes a stack frame for each turn
+
+    def tidy(t: Column) -> Column:
+        # only blanks and line ends that were written as references are left
+        loose = F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\n ")) | F.contains(t, F.lit("\n\n"))
+        return F.trim(F.when(loose, F.regexp_replace(t, " *\n[ \n]*", "\n")).otherwise(t), F.lit(" \n"))
+
+    return let(let(c, lambda t: _decoded(t)), tidy)
 
 
 def derived(records: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -158,7 +173,7 @@ def derived(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     a = a.select("id", _head(F.col("r")).alias("head"), "r").select("id", "head", _headers(F.col("head")).alias("warc"), _rest(F.col("r"), F.col("head")).alias("rest"))
     valid = F.col("head").startswith("WARC/1.") & (F.lower(_header(F.col("warc"), "WARC-Type")) == "response") & _header(F.col("warc"), "WARC-Record-ID").isNotNull()
     # a record ends with two line ends of its own
-    a = a.select("id", "warc", valid.alias("valid"), F.regexp_replace("rest", r"\r\n\r\n\z", "").alias("http"))
+    a = a.select("id", "warc", valid.alias("valid"), F.when(F.endswith("rest", F.lit(_CRLF * 2)), F.col("rest").substr(F.lit(1), F.length("rest") - 4)).otherwise(F.col("rest")).alias("http"))
     a = a.select("id", "warc", "valid", "http", _head(F.col("http")).alias("hhead"))
     a = a.select("id", "warc", "valid", F.substring_index("hhead", _CRLF, 1).alias("status"), _headers(F.col("hhead")).alias("headers"), _rest(F.col("http"), F.col("hhead")).alias("html"))
     warc = F.col("warc")
@@ -183,25 +198,37 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _decoded_sql(c: str, attribute: bool = False) -> str:
+    """Character references in DuckDB's SQL, piece by piece between ampersands."""
+    number = lambda digits, base: f"list_reduce(list_prepend(0::DOUBLE, list_transform(string_split({digits}, ''), lambda c: (instr('0123456789abcdef', lower(c)) - 1)::DOUBLE)), lambda a, b: a * {base} + b)"
+    hexes, digits = "regexp_extract(m, '[xX]([0-9a-fA-F]+)', 1)", "regexp_extract(m, '[0-9]+')"
+    value = f"CASE WHEN lower(m[2]) = 'x' THEN {number(hexes, 16)} ELSE {number(digits, 10)} END"
+    c1 = ", ".join(f"{k}: {_quoted(v)}" for k, v in _C1.items())
+    character = f"list_transform([{value}], lambda n: CASE WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce(map_extract(MAP {{{c1}}}, n::INTEGER)[1], chr(n::INTEGER)) END)[1]"
+    # a name without semicolon is matched with the next character, where attributes need to see it
+    more = "[A-Za-z0-9=]?" if attribute else ""
+    reference = f"'^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{0,30}};|(?:{_OPEN}){more})'"
+    known = "map_extract(entities, {})[1]"
+    prefix = "''" if attribute else f"regexp_extract(m, '^(?:{_OPEN})')"
+    named = f"coalesce({known.format('m')}, list_transform([{prefix}], lambda o: CASE WHEN o <> '' THEN {known.format('o')} || substr(m, len(o) + 1) END)[1], '&' || m)"
+    piece = f"list_transform([regexp_extract(x, {reference})], lambda m: CASE WHEN m = '' THEN '&' WHEN m[1] = '#' THEN {character} ELSE {named} END || substr(x, len(m) + 1))[1]"
+    split = f"string_split({c}, '&')"
+    return f"replace({split}[1] || array_to_string(list_transform({split}[2:], lambda x: {piece}), ''), chr(160), ' ')"
+
+
 def sql() -> str:
     """The query in DuckDB's SQL, from the pages themselves."""
     uuid = lambda c: f"('<urn:uuid:' || substr(md5({c}), 1, 8) || '-' || substr(md5({c}), 9, 4) || '-' || substr(md5({c}), 13, 4) || '-' || substr(md5({c}), 17, 4) || '-' || substr(md5({c}), 21, 12) || '>')"
     size = lambda c: f"CAST(strlen({c}) AS VARCHAR)"
-    decoded = lambda c: c if not c else _fold(c)
-
-    def _fold(c: str) -> str:
-        for k, v in _ENTITIES:
-            c = f"replace({c}, {_quoted(k)}, {_quoted(v)})"
-        return c
-
-    text = "html"
-    for p in _DROP:
-        text = f"regexp_replace({text}, {_quoted(p)}, '', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '[ \\t\\r\\n\\f]+', ' ', 'g'), {_quoted(_BREAK)}, chr(10), 'g')"
-    text = decoded(f"regexp_replace({text}, {_quoted(_TAG)}, '', 'g')")
-    text = f"trim(regexp_replace(regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'), ' ')"
-    title = f"trim(regexp_replace({decoded(f'regexp_extract(html, {_quoted(_TITLE)}, 1)')}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')"
-    links = f"list_transform(regexp_extract_all(html, {_quoted(_LINK)}, 1), lambda x: {decoded('x')})"
+    entities = f"map([{', '.join(map(_quoted, html5))}], [{', '.join(map(_quoted, html5.values()))}])"
+    elements = "|".join(rf"<{x}\b[^>]*>.*?(?:</{x}\s*>|\z)" for x in ("script", "style", "noscript", "template"))
+    text = rf"regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|{elements}|<head\b[^>]*>.*?(?:</head\s*>|(<body\b)|\z)', '\1', 'g')"
+    # a block tag stands as chr(1) until other tags and white space are gone
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)</?(?:{_BLOCKS})\b[^>]*>', chr(1), 'g'), '<[!/?a-zA-Z][^>]*>', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g'), ' *\x01[ \x01]*', chr(10), 'g')"
+    text = rf"trim(regexp_replace({_decoded_sql(text)}, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    title = f"trim(regexp_replace({_decoded_sql(f'regexp_extract(html, {_quoted(_TITLE)}, 1)')}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')"
+    links = f"list_transform(regexp_extract_all(html, {_quoted(_LINK)}, 1), lambda l: {_decoded_sql('l', True)})"
     pair = lambda k, v: f"{{'name': '{k}', 'value': {v}}}"
     nl = "chr(13) || chr(10)"
     http = f"('HTTP/1.1 200 OK' || {nl} || 'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: ' || {size('html')} || {nl} || 'X-Page: ' || page_id || {nl} || {nl} || html)"
@@ -211,7 +238,7 @@ def sql() -> str:
     names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest")]
     record = " || ".join(f"'{k}: ' || {v} || {nl}" for k, v in names)
     return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {uuid("(CAST(page_id AS VARCHAR) || ' ' || url)")} AS refers_to, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
+WITH names AS (SELECT {entities} AS entities), p AS (SELECT page_id, entities, url, coalesce(html, '') AS html, {uuid("(CAST(page_id AS VARCHAR) || ' ' || url)")} AS refers_to, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages, names),
 d AS (SELECT page_id, refers_to, url AS target_uri, '{DATE}' AS warc_date, payload_digest, 'metadata' AS warc_type, 'conversion' AS other, 'application/json' AS kind, {meta} AS block FROM p
   UNION ALL SELECT page_id, refers_to, url, '{DATE}', payload_digest, 'conversion', 'metadata', 'text/plain; charset=utf-8', {text} FROM p),
 i AS (SELECT *, {uuid("(refers_to || ' ' || warc_type)")} AS record_id, {uuid("(refers_to || ' ' || other)")} AS concurrent_to, 'sha256:' || sha256(block) AS block_digest FROM d)
