@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.common import small, written
+from strataleaf.llm.common import BROADCAST_BYTES, small, written
 
 #: Bits of the filter per listed URL.
 BITS = 16
+#: What a listed URL counts in the size of a broadcast.
+KEY_BYTES = 200
 #: Query parameters that don't change the page.
 TRACKING = "utm_[a-z_]+|ref|fbclid|gclid|sessionid"
 
@@ -55,24 +57,36 @@ def marked(pages: DataFrame, listed: DataFrame, url_col: str = "url", list_col:
     A null or blank URL, on either side, is never listed. Repeated rows, in either table, are marked
     each. An empty list lists nothing; an empty table gives an empty table. pages' own columns of the
     names canonical_url and listed are replaced.
+
+    Where filter and list fit a broadcast, pages are read once and not moved. A longer list is met by the
+    pages' canonical URLs alone: those that the filter passes are joined with it, and what is confirmed, a
+    table as long as the listed URLs that pages have, marks the pages.
     """
     keys = listed.select(canonical(F.col(list_col)).alias("key")).where("key <> ''").distinct()
     keys = written(keys, "listed")
-    n_blocks = max(1, -(-keys.count() * BITS // 256))
-    blocks = small(written(bloom_blocks(keys, n_blocks), "bloom"), 48)
+    n_blocks = max(1, -(-keys._sl_seen["rows"] * BITS // 256))
+    blocks = written(bloom_blocks(keys, n_blocks), "bloom")
     probe = pages.drop("canonical_url", "listed").withColumn("canonical_url", canonical(F.col(url_col)))
-    columns = probe.columns
+    exact = keys.select(F.col("key").alias("_sl_key"))
+    if keys._sl_seen["rows"] * KEY_BYTES <= BROADCAST_BYTES:
+        tested = _tested(probe, F.broadcast(blocks), n_blocks)
+        found = tested.join(F.broadcast(exact), F.when(F.col("_sl_hit"), F.col("canonical_url")) == F.col("_sl_key"), "left")
+    else:
+        narrow = _tested(probe.select("canonical_url"), small(blocks, 48), n_blocks).where("_sl_hit").select(F.col("canonical_url").alias("_sl_key")).distinct()
+        confirmed = written(narrow.join(exact, "_sl_key"), "confirmed")
+        found = probe.join(small(confirmed, KEY_BYTES), F.col("canonical_url") == F.col("_sl_key"), "left")
+    return found.select(*probe.columns, F.col("_sl_key").isNotNull().alias("listed"))
+
+
+def _tested(probe: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """probe with _sl_hit: whether the filter may hold canonical_url."""
     block, words = _hashes(F.col("canonical_url"), F.lit(n_blocks).cast("long"))
     renamed = blocks.select(F.col("block").alias("_sl_block"), *[F.col(f"w{i}").alias(f"_sl_w{i}") for i in range(4)])
     tested = probe.join(renamed, block == F.col("_sl_block"), "left")
-    hit = F.lit(True)
+    hit = F.coalesce(F.col("canonical_url") != "", F.lit(False))
     for i, w in enumerate(words):
         hit = hit & F.coalesce(F.col(f"_sl_w{i}").bitwiseAND(w) == w, F.lit(False))
-    tested = tested.withColumn("_sl_hit", hit & F.coalesce(F.col("canonical_url") != "", F.lit(False)))
-    missed = tested.where("NOT _sl_hit").select(*columns, F.lit(False).alias("listed"))
-    exact = small(keys.select(F.col("key").alias("_sl_key")), 200)
-    found = tested.where("_sl_hit").join(exact, F.col("canonical_url") == F.col("_sl_key"), "left")
-    return missed.unionAll(found.select(*columns, F.col("_sl_key").isNotNull().alias("listed")))
+    return tested.select(*probe.columns, hit.alias("_sl_hit"))
 
 
 def filtered(pages: DataFrame, listed: DataFrame, url_col: str = "url", list_col: str = "url") -> DataFrame:
