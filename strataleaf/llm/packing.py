@@ -8,7 +8,7 @@ ranges: the pieces of length L with rank in [lo, hi) go to bins from `bin` on, `
 Each piece then takes its slot by joining on its length and its rank within the length.
 
 Ranks need no global sort and no single task per length: pieces are counted per length and
-residue of the id, the counts are summed up in order, and only inside a residue are rows numbered.
+residue of the id's hash, the counts are summed up in order, and only inside a residue are rows numbered.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strataleaf.llm.common import BROADCAST_BYTES, n_words, written
 
 CONTEXT = 2048
-#: Residues of the id by which a length's pieces are numbered.
+#: Residues of the id's hash by which a length's pieces are numbered.
 RESIDUES = 1024
 
 
@@ -76,14 +76,14 @@ def plan(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[int, int,
 def packed(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """(bin_id, slot_offset, doc_id, piece, start_token, n_tokens): the slot of each piece of each row of docs.
 
-    A row with null or blank text has no tokens and no slot. A null id is an id like others; repeated
+    A row with null or blank text has no tokens and no slot. Ids may be of any type that has an order, and a null id is an id like others; repeated
     rows are packed each. An empty table gives an empty table. Other columns are ignored.
     """
     sized = docs.select("doc_id", n_words(F.col("text")).alias("n")).where("n > 0")
     last = F.floor((F.col("n") - 1) / context)
     cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     cut = cut.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * context).alias("start_token"), F.least(F.lit(context), F.col("n") - F.col("piece") * context).cast("int").alias("n_tokens"))
-    pieces = written(cut.withColumn("residue", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(RESIDUES)), F.lit(0)).cast("int")), "pieces")
+    pieces = written(cut.withColumn("residue", F.pmod(F.xxhash64("doc_id"), F.lit(RESIDUES)).cast("int")), "pieces")
     by = pieces.groupBy("n_tokens", "residue").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("n_tokens").orderBy("residue").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by = written(by.withColumn("before", before), "counts")

@@ -58,3 +58,17 @@ def test_edge_cases(hard, nothing, clashing):
 def test_mixed_rows_are_those_selected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(r.doc_id for r in M.mixed(docs).collect()) == sorted(r.doc_id for r in M.selection(docs).collect())
+
+
+def test_other_targets(spark):
+    rows = [(f"d{i}", "one two three four", lang, source) for i in range(30) for lang, source in (("en", "code/a"), ("en", "books/b"), ("it", "books/b"))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    targets = M.Targets(domain_weights={"code": 3, "books": 1}, lang_weights={"it": 0}, budget=1 / 3, max_epochs=1, seed=5, domain=lambda s: F.substring_index(s, "/", 1))
+    got = M.selection(docs, targets).collect()
+    n = {d: sum(r.n_tokens for r in got if r.domain == d) for d in ("code", "books")}
+    assert n == {"code": 88, "books": 28} and all(r.lang == "en" and r.epoch == 0 for r in got)
+    assert M.mixed(docs, targets).count() == len(got)
+    other = {r.doc_id for r in M.selection(docs, M.Targets(domain_weights=targets.domain_weights, lang_weights={"it": 0}, budget=1 / 3, max_epochs=1, seed=6, domain=targets.domain)).collect()}
+    assert other != {r.doc_id for r in got}

@@ -77,3 +77,8 @@ def test_edge_cases(hard, nothing, clashing):
     assert P.packed(nothing).count() == 0
     assert P.packed(clashing, 100).columns == ["bin_id", "slot_offset", "doc_id", "piece", "start_token", "n_tokens"]
     assert P.packed(clashing, 100).count() == P.packed(hard, 100).count()
+
+
+def test_ids_that_are_strings(spark):
+    docs = spark.createDataFrame([(k, "w " * n) for k, n in (("a", 150), ("b", 30), (None, 20), ("b", 30))], "doc_id string, text string")
+    check(docs, P.packed(docs, 100), 100)
