@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from strataleaf.llm.common import in_small_batches
+
 _COPYRIGHT = '<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="holder";original="<year> <holder>";match=".{0,20}">> <<beginOptional>>All rights reserved<<endOptional>><<endOptional>>'
 _AS_IS = 'IS PROVIDED <<var;name="by";original="";match=".{0,12}">> "AS IS"'
 _BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -226,7 +228,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts match nothing; repeated rows have rows each; a null id stays null; an empty
     table gives an empty table. Other columns are ignored.
     """
-    asked = docs.select("doc_id", "text").where(may_match(F.col("text")))
+    asked = in_small_batches(docs).select("doc_id", "text").where(may_match(F.col("text")))
     found = asked.select("doc_id", _scan("text").alias("f")).where("size(f) > 0")
     names = F.array_sort(F.array_distinct(F.col("f.license")))
     each = found.select("doc_id", "f", F.explode(names).alias("license"))
