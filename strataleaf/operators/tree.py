@@ -41,11 +41,12 @@ def walk(tree: object) -> Iterator[dict]:
 
 
 def _int(v: object) -> int | None:
-    return v if isinstance(v, int) and not isinstance(v, bool) else None
+    return v if isinstance(v, int) and not isinstance(v, bool) and -(1 << 31) <= v < 1 << 31 else None
 
 
 def nodes(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
-    """NODES of documents (relative_name, ast_json). Null or malformed JSON has no nodes; see malformed()."""
+    """NODES of documents (relative_name, ast_json). Null or malformed JSON, and JSON too deep for the reader, has no nodes; see
+    malformed(). Positions that don't fit an int are null."""
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,12 +54,13 @@ def nodes(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     found = walk(json.loads(text)) if text is not None else ()
-                    rows += [{"relative_name": name, **n} for n in found]
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
-                if len(rows) > _ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows = []
+                for n in found:
+                    rows.append({"relative_name": name, **n})
+                    if len(rows) > _ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -66,9 +68,23 @@ def nodes(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
 
 
 def malformed(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
-    """(path, stage, message) of the documents whose tree can't be read."""
-    bad = documents.where(F.col(json_col).isNotNull() & F.expr(f"try_parse_json(`{json_col}`) IS NULL"))
-    return bad.select(F.col("relative_name").alias("path"), F.lit("tree").alias("stage"), F.lit("malformed JSON").alias("message"))
+    """(path, stage, message) of the documents whose tree can't be read, by the reader that nodes() uses."""
+
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    json.loads(text)
+                except RecursionError:
+                    rows.append((name, "too deep"))
+                except ValueError:
+                    rows.append((name, "malformed JSON"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "message"])
+
+    asked = documents.where(F.col(json_col).isNotNull()).select("relative_name", json_col)
+    return asked.mapInArrow(bad, "path string, message string").select("path", F.lit("tree").alias("stage"), "message")
 
 
 def type_histogram(found: DataFrame) -> DataFrame:
@@ -127,21 +143,27 @@ class FirstVisit:
         self.seen: set[int] = set()
 
     def plain(self, value: object) -> object:
-        if not isinstance(value, (dict, list)):
-            return value
-        if id(value) in self.seen:
+        """Depth first and in order, on a stack, so depth has no limit but memory."""
+        if isinstance(value, (dict, list)) and id(value) in self.seen:
             raise LookupError
-        self.seen.add(id(value))
-        if isinstance(value, list):
-            return [self._or(v, None)[0] for v in value]
-        kept = {k: self._or(v, None) for k, v in value.items()}
-        return {k: v for k, (v, there) in kept.items() if there}
-
-    def _or(self, value: object, other: object) -> tuple[object, bool]:
-        try:
-            return self.plain(value), True
-        except LookupError:
-            return other, False
+        out: list[object] = []
+        stack: list[tuple[object, object, object]] = [(value, out, None)]  # what is visited, and where it goes
+        while stack:
+            v, into, key = stack.pop()
+            again = isinstance(v, (dict, list)) and id(v) in self.seen
+            if again and isinstance(into, dict):
+                del into[key]  # its place was kept for the order of keys
+                continue
+            made = None if again else {k: None for k in v} if isinstance(v, dict) else [] if isinstance(v, list) else v
+            if isinstance(into, dict):
+                into[key] = made
+            else:
+                into.append(made)
+            if again or not isinstance(v, (dict, list)):
+                continue
+            self.seen.add(id(v))
+            stack += [(x, made, k) for k, x in reversed(list(v.items()))] if isinstance(v, dict) else [(x, made, None) for x in reversed(v)]
+        return out[0]
 
     def dumps(self, value: object) -> str:
         return json.dumps(self.plain(value), separators=(",", ":"), ensure_ascii=False)

@@ -98,3 +98,162 @@ TYPED_TREES = [
     ("bad.ts", "{", []),
     ("null.ts", None, []),
 ]
+
+
+class _Builder:
+    """Syntax trees whose nodes start at places of their own."""
+
+    def __init__(self) -> None:
+        self.at = 0
+
+    def __call__(self, type_: str, /, **fields: object) -> dict:
+        self.at += 1
+        return {"type": type_, "start": self.at, **fields}
+
+    def name(self, name: str, note: dict | None = None) -> dict:
+        return self("Identifier", name=name, **({"typeAnnotation": note} if note else {}))
+
+    def number(self, value: int = 1) -> dict:
+        return self("NumericLiteral", value=value)
+
+    def string(self, value: str = "s") -> dict:
+        return self("StringLiteral", value=value)
+
+    def const(self, target: str | dict, init: dict | None, kind: str = "const") -> dict:
+        target = self.name(target) if isinstance(target, str) else target
+        return self("VariableDeclaration", kind=kind, declarations=[self("VariableDeclarator", id=target, init=init)])
+
+    def block(self, *body: dict) -> dict:
+        return self("BlockStatement", body=list(body))
+
+    def function(self, name: str | None, *body: dict, params: tuple = (), kind: str = "FunctionDeclaration", **more: object) -> dict:
+        return self(kind, **({"id": self.name(name)} if name else {}), params=list(params), body=self.block(*body), **more)
+
+    def back(self, value: dict | None) -> dict:
+        return self("ReturnStatement", argument=value)
+
+    def call(self, callee: str | dict, *arguments: dict) -> dict:
+        return self("CallExpression", callee=self.name(callee) if isinstance(callee, str) else callee, arguments=list(arguments))
+
+    def member(self, of: str | dict, name: str | dict) -> dict:
+        of = self.name(of) if isinstance(of, str) else of
+        return self("MemberExpression", object=of, property=self.name(name) if isinstance(name, str) else name, computed=not isinstance(name, str))
+
+    def record(self, **fields: dict) -> dict:
+        return self("ObjectExpression", properties=[self("ObjectProperty", key=self.name(k), value=v) for k, v in fields.items()])
+
+    def array(self, *elements: dict) -> dict:
+        return self("ArrayExpression", elements=list(elements))
+
+    def operation(self, op: str, left: dict, right: dict) -> dict:
+        kind = "LogicalExpression" if op in ("&&", "||", "??") else "AssignmentExpression" if op.endswith("=") and op not in ("==", "<=") else "BinaryExpression"
+        return self(kind, operator=op, left=left, right=right)
+
+
+def _note(kind: str, **fields: object) -> dict:
+    return {"type": "TSTypeAnnotation", "typeAnnotation": {"type": kind, **fields}}
+
+
+def _reference(name: str, *arguments: str) -> dict:
+    return _note("TSTypeReference", typeName={"type": "Identifier", "name": name}, typeParameters={"params": [{"type": a} for a in arguments]})
+
+
+def typed_rules() -> tuple[str, list[tuple[str, int, str]]]:
+    """A tree of small declarations, and what is known of some of its places: (rule, position, type)."""
+    b = _Builder()
+    body: list[dict] = []
+    asked: list[tuple[str, int, str]] = []
+
+    def value(rule: str, init: dict, type_: str, kind: str = "const") -> None:
+        """const xN = init: the name has the type."""
+        body.append(b.const(f"x{len(body)}", init, kind))
+        asked.append((rule, body[-1]["declarations"][0]["id"]["start"], type_))
+
+    def here(rule: str, node: dict, type_: str) -> dict:
+        asked.append((rule, node["start"], type_))
+        return node
+
+    # two functions with a name of their own each, and blocks that hide an outer one
+    body += [b.function("a", b.const("x", b.number()), b.back(b.name("x"))), b.function("b", b.const("x", b.string()), b.back(b.name("x")))]
+    value("TREE-4", b.call("a"), "number")
+    value("TREE-4", b.call("b"), "string")
+    body.append(b.function("hidden", b.const("y", b.string()), b.block(b.const("y", b.number()), b.back(b.name("y")))))
+    value("TREE-4", b.call("hidden"), "number")
+    body.append(b.function("none", b.function("inner", b.back(b.number()))))
+    value("TREE-4", b.call("none"), "void")
+    value("TREE-6", b("AwaitExpression", argument=b.call("later")), "number")
+    body.append(b.function("later", b.back(b.number()), **{"async": True}))
+    value("TREE-7", b.call("declared"), "boolean")
+    body.append(b.function("declared", b.back(b.call("unknown")), returnType=_note("TSBooleanKeyword")))
+    value("TY-1", b("TSAsExpression", expression=b.call("unknown"), typeAnnotation=_note("TSStringKeyword")), "string")
+    value("TY-1", b("TSNonNullExpression", expression=b.number()), "number")
+    method = b("ClassMethod", kind="get", key=b.name("size"), params=[], body=b.block(b.back(b.number())))
+    here("TY-2", method, "number")
+    here("TY-2", method["key"], "() => number")
+    signature = b("TSMethodSignature", key=b.name("f"), parameters=[b.name("p", _note("TSStringKeyword"))], typeAnnotation=_note("TSVoidKeyword"))
+    here("TY-2", signature["key"], "(p: string) => void")
+    here("TY-6", signature["parameters"][0], "string")
+    property_ = b("ClassProperty", key=b.name("z"), value=b.string())
+    here("TY-3", property_["key"], "string")
+    body.append(here("TY-17", b("ClassDeclaration", id=b.name("K"), typeParameters={"params": [{"type": "TSTypeParameter", "name": "T"}]}, body=b("ClassBody", body=[method, property_])), "K<T>"))
+    body.append(b("TSInterfaceDeclaration", body=b("TSInterfaceBody", body=[signature])))
+    value("TY-4", b.call("x_later"), "string")
+    body.append(b.const("x_later", b("ArrowFunctionExpression", params=[], body=b.string())))
+    first, second, third = b.name("first"), b.name("second"), b.name("third")
+    pattern = b("ObjectPattern", properties=[b("ObjectProperty", key=b.name("p"), value=first), b("ObjectProperty", key=b.name("q"), value=b("ArrayPattern", elements=[second, b("AssignmentPattern", left=third, right=b("BooleanLiteral", value=True))]))])
+    body.append(b.const(pattern, b.record(p=b.number(), q=b.array(b.string()))))
+    asked.extend([("TY-5", first["start"], "number"), ("TY-5", second["start"], "string"), ("TY-5", third["start"], "boolean")])
+    body.append(b.const("rec", b.record(k=here("TY-7", b.string(), "string"), m=b("FunctionExpression", params=[], body=b.block(b.back(b.number()))))))
+    short = b("ObjectProperty", key=b.name("rec"), value=b.name("first"), shorthand=True)
+    here("TY-8", short, "number")
+    body.append(b.const("short", b("ObjectExpression", properties=[short])))
+    value("TY-9", b.call(b("Import"), b.string("m")), 'Promise<typeof import("m")>')
+    value("TY-10", b.call(b.member("rec", "m")), "number")
+    value("TY-10", b.call(b.member(b.string(), "split"), b.string()), "Array<string>")
+    value("TY-10", b.call("parseInt", b.string()), "number")
+    value("TY-10", b.call(b.member("Promise", "resolve"), b.number()), "Promise<number>")
+    value("TY-11", b("NewExpression", callee=b.name("Map"), arguments=[], typeParameters={"params": [{"type": "TSStringKeyword"}, {"type": "TSNumberKeyword"}]}), "Map<string, number>")
+    value("TY-11", b("NewExpression", callee=b.name("K"), arguments=[]), "K")
+    access = b.member("rec", "k")
+    here("TY-12", access["property"], "string")
+    value("TY-12", access, "string")
+    element = b.member(b.array(b.number(), b.number()), b.number(0))
+    here("TY-12", element["property"], "number")
+    value("TY-12", element, "number")
+    long = b.string()
+    for _ in range(1500):
+        long = b.operation("+", long, b.number())
+    value("TY-13", long, "string")
+    value("TY-13", b.operation("<", b.call("unknown"), b.number()), "boolean")
+    value("TY-13", b.operation("??", b("NullLiteral"), b.number()), "number")
+    value("TY-13", b.operation("||", b.number(), b.string()), "number | string")
+    value("TY-13", b.operation("=", b.name("w"), b.number()), "number")
+    value("TY-13", b.operation("+=", b.name("first"), b.number()), "number")
+    value("TY-14", b("ConditionalExpression", test=b.name("w"), consequent=b.number(), alternate=b.string()), "number | string")
+    one, two = b("TSEnumMember", id=b.name("One"), initializer=b.number()), b("TSEnumMember", id=b.name("Two"))
+    body.append(b("TSEnumDeclaration", id=b.name("E"), members=[here("TY-18", one, "E.One"), here("TY-18", two, "E.Two")]))
+    value("TY-18", b.member("E", "Two"), "E.Two")
+    value("TY-19", b("TemplateLiteral", quasis=[], expressions=[]), "string")
+    value("TY-20", b("TaggedTemplateExpression", tag=b.name("a"), quasi=b("TemplateLiteral", quasis=[], expressions=[])), "number")
+    value("TY-20", b("TaggedTemplateExpression", tag=b.member("String", "raw"), quasi=b("TemplateLiteral", quasis=[], expressions=[])), "string")
+    got = b.const("got", b("YieldExpression", argument=b.number()))
+    asked.append(("TY-21", got["declarations"][0]["id"]["start"], "string"))
+    body.append(b.function("gen", got, generator=True, returnType=_reference("Generator", "TSNumberKeyword", "TSVoidKeyword", "TSStringKeyword")))
+    body.append(b.function("made", b("YieldExpression", argument=b.number()), b.back(b.string()), generator=True))
+    value("TY-21", b.call("made"), "Generator<number, string, unknown>")
+    spread = b("SpreadElement", argument=b.array(b.number()))
+    here("TY-22", spread, "Array<number>")
+    body.append(b.const("spread", b.array(spread)))
+    value("TY-23", b("UnaryExpression", operator="typeof", argument=b.name("w")), "string")
+    value("TY-24", b.array(b.number(), b.number()), "Array<number>")
+    # nodes that make no sense: they have no type, and those below still do
+    odd = b("VariableDeclarator", id="not a node", init=b.array(here("TY-25", b.string(), "string")))
+    body.append(b("VariableDeclaration", kind="const", declarations=[odd]))
+    value("TY-25", b("CallExpression", callee="x", arguments=7), "number", "let")
+    asked.pop()
+    # names that lead to themselves
+    body += [b.const("p1", b.name("p2")), b.const("p2", b.name("p1"))]
+    return json.dumps(b("File", program=b("Program", body=body))), asked
+
+
+RULES_TREE, RULES = typed_rules()

@@ -483,6 +483,15 @@ def syntactic_typemap(spark, sf_dir):
     return typemap.arbitrate(syntactic_types.type_candidates(docs)).select("relative_name", F.col("offset").alias("position"), "type")
 
 
+@query(f"SELECT * FROM {D.values(X.RULES, 'rule,position,type')}")
+def syntactic_rules(spark, sf_dir):
+    """TREE-4, 6, 7; TY-1..14, 17..25: a place or more for each rule (authored; the oracle is a table of known answers)."""
+    docs = spark.createDataFrame([("rules.ts", X.RULES_TREE)], "relative_name string, ast_json string")
+    asked = spark.createDataFrame([r[:2] for r in X.RULES], "rule string, offset int")
+    found = typemap.arbitrate(syntactic_types.type_candidates(docs))
+    return asked.join(found, "offset", "left").select("rule", F.col("offset").alias("position"), "type")
+
+
 @query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey")
 def first_declaration(spark, sf_dir):
     """JOIN-2: each use with the first of its declarations; a customer's first order stands for it."""
