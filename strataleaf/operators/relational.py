@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anti_merge(scan: DataFrame, extra: DataFrame, key: str) -> DataFrame:
-    """scan, and the rows of extra whose key it lacks. Null keys of extra are kept: they equal nothing."""
+def anti_merge(scan: DataFrame, extra: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """scan, and the rows of extra whose key it lacks; sorted, if an order is given. Null keys of extra are kept: they equal nothing."""
     new = extra.join(scan.select(key), key, "left_anti")
-    return scan.unionByName(new.select(*scan.columns))
+    out = scan.unionByName(new.select(*scan.columns))
+    return out.orderBy(*order) if order else out
 
 
-def union_distinct(*scans: DataFrame) -> DataFrame:
+def union_distinct(*scans: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The distinct rows of all scans; sorted, if an order is given, as lists of files are."""
     out = scans[0]
     for s in scans[1:]:
         out = out.union(s)
-    return out.distinct()
+    return out.distinct().orderBy(*order) if order else out.distinct()
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -74,8 +74,8 @@ def _starts(t: Column, prefixes: tuple[str, ...]) -> Column:
 
 
 def prefix_tags(types: DataFrame, rules: DataFrame, column: str) -> DataFrame:
-    """types joined with rules (prefix, tag) by prefix. rules is a fixed table of the program, so it is broadcast."""
-    return types.join(F.broadcast(rules), F.col(column).startswith(F.col("prefix")))
+    """types joined with rules (prefix, tag) by prefix. Spark broadcasts rules where their size is known to fit, as that of a fixed table is."""
+    return types.join(rules, F.col(column).startswith(F.col("prefix")))
 
 
 def slices(lines: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shlex
 import sys
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from strataleaf.sources import frontends
+
 #: name: (short form, default, whether it is boolean). recurse is accepted; scans always recurse.
 OPTIONS: dict[str, tuple[str | None, object, bool]] = {
     "src": ("i", ".", False),
@@ -123,12 +127,47 @@ def project_kind(kind: str | None, root: Path) -> str | None:
     return "script" if any((root / n).is_file() for n in ("package.json", "rush.json")) else None
 
 
-USAGE = "usage: strataleaf [-i SRC] [-o OUTPUT] [-t TYPE] [--tsTypes=BOOLEAN] [-h] [--version]"
+USAGE = """usage: strataleaf [-i SRC] [-o OUTPUT] [-t TYPE] [--tsTypes=BOOLEAN] [-h] [--version]
+       strataleaf slices [-i SRC] [-o OUTPUT]
+       strataleaf php|ruby ARGUMENTS...
+
+Environment: STRATALEAF_PARSER, a command that prints a file's syntax tree as JSON ({parser} and {options} stand for the parser to
+use and its options); STRATALEAF_DUMP, a command that prints what a compiled artefact holds; STRATALEAF_TIMEOUT, milliseconds a file."""
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("strataleaf").getOrCreate()
+
+
+def _output(args: Arguments, root: Path) -> Path:
+    output = Path(str(args.values["output"]))
+    return root / output if str(output) == "ast_out" else output
+
+
+def _slices(args: Arguments, root: Path) -> int:
+    from strataleaf.plans.jobs import slices_from_tree
+
+    command = shlex.split(os.environ.get("STRATALEAF_DUMP", ""))
+    if not command:
+        print("STRATALEAF_DUMP names no command", file=sys.stderr)
+        return 1
+    frontends.ensure_compiled(root)
+    output = _output(args, root)
+    output.mkdir(parents=True, exist_ok=True)
+    print(slices_from_tree(_session(), str(root.resolve()), str(output), command, frontends.seconds(os.environ.get("STRATALEAF_TIMEOUT"))))
+    return 0
 
 
 def main(tokens: list[str] | None = None) -> int:
+    """Scan a tree, and parse and type it where a parser is configured; or make slices; or start another language's front end."""
+    tokens = sys.argv[1:] if tokens is None else tokens
+    if tokens[:1] in (["php"], ["ruby"]):
+        return frontends.launch(tokens[0], tokens[1:], Path(__file__).resolve().parent)
+    sliced = tokens[:1] == ["slices"]
     try:
-        args = parse(sys.argv[1:] if tokens is None else tokens)
+        args = parse(tokens[sliced:])
     except ValueError as bad:
         print(bad, file=sys.stderr)
         return 1
@@ -136,17 +175,21 @@ def main(tokens: list[str] | None = None) -> int:
         print(USAGE if args.values.get("help") else "0.1.0")
         return 0
     root = Path(str(args.values["src"]))
+    if sliced:
+        return _slices(args, root)
     kind = project_kind(args.values.get("type"), root)
     if kind is None:
         print("no package here, and no known --type", file=sys.stderr)
         return 1
-    from pyspark.sql import SparkSession
-
-    from strataleaf.plans.jobs import scan_job
-
-    output = Path(str(args.values["output"]))
-    output = root / output if str(output) == "ast_out" else output
-    scan_job(SparkSession.builder.appName("strataleaf").getOrCreate(), str(root.resolve()), str(output), kind)
+    from strataleaf.plans.jobs import export_job, scan_job
+
+    output = _output(args, root)
+    command = shlex.split(os.environ.get("STRATALEAF_PARSER", ""))
+    chain = [("configured", frontends.Parsers(tuple(command), args.values.get("type"), frontends.seconds(os.environ.get("STRATALEAF_TIMEOUT"))))] if command else []
+    spark = _session()
+    scan_job(spark, str(root.resolve()), str(output), kind, chain)
+    if chain:
+        export_job(spark, str(output), bool(args.values.get("tsTypes", True)))
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -81,6 +82,81 @@ def find_tsconfig(start: str | Path) -> Path | None:
     return next((d / n for n in ("tsconfig.json", "jsconfig.json") for d in _upward(start) if (d / n).is_file()), None)
 
 
+def _jsonc(text: str) -> object:
+    """JSON with comments and trailing commas."""
+    bare = re.sub(r'("(?:[^"\\\\]|\\\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or " ", text, flags=re.DOTALL)
+    return json.loads(re.sub(r'("(?:[^"\\\\]|\\\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", bare))
+
+
+def read_tsconfig(path: str | Path) -> dict | None:
+    """A configuration with those that it extends put under it; None if it can't be read.
+
+    `files`, `include` and `exclude` are absolute; of each the nearest configuration that has it counts. Options are
+    merged, the nearest first. One that extends itself stops there.
+    """
+
+    def read(at: Path, seen: frozenset[Path]) -> dict | None:
+        try:
+            own = _jsonc(at.read_text(encoding="utf-8-sig"))
+        except (OSError, ValueError):
+            return None
+        if not isinstance(own, dict):
+            return None
+        out: dict = {}
+        bases = own.get("extends") or []
+        for base in [bases] if isinstance(bases, str) else bases:
+            found = _extended(at.parent, str(base))
+            if found and found not in seen:
+                out |= {k: v for k, v in (read(found, seen | {found}) or {}).items() if k != "compilerOptions"} | {"compilerOptions": out.get("compilerOptions", {}) | ((read(found, seen | {found}) or {}).get("compilerOptions") or {})}
+        for k in ("files", "include", "exclude"):
+            if isinstance(own.get(k), list):
+                out[k] = [str((at.parent / str(x)).absolute()) if not str(x).startswith("/") else str(x) for x in own[k]]
+        out["compilerOptions"] = out.get("compilerOptions", {}) | (own.get("compilerOptions") or {})
+        return out
+
+    start = Path(path).absolute()
+    return read(start, frozenset((start,)))
+
+
+def _extended(folder: Path, name: str) -> Path | None:
+    """The file that `extends` names: relative, absolute, or of an installed package."""
+    if name.startswith((".", "/")):
+        places = [folder / name, folder / f"{name}.json"]
+    else:
+        places = [d / "node_modules" / n for d in (folder, *folder.parents) for n in (name, f"{name}.json", f"{name}/tsconfig.json")]
+    return next((p.resolve() for p in places if p.is_file()), None)
+
+
+def glob_pattern(glob: str) -> str:
+    """An include or exclude pattern as a regular expression over whole paths; a folder stands for all below it."""
+    last = glob.rstrip("/").rpartition("/")[2]
+    if "*" not in last and "?" not in last and "." not in last:
+        glob = glob.rstrip("/") + "/**/*"
+    out = ""
+    for part in re.split(r"(\*\*/|\*|\?)", os.path.normpath(glob).replace("**/", "\0").replace("\0", "**/")):
+        out += {"**/": "(?:[^/]+/)*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    return f"^{out}$"
+
+
+def configured_files(files: DataFrame, config: dict | None, root: str) -> DataFrame:
+    """The rows of files (path, ...) that a configuration of read_tsconfig() names: `files`, and of `include` what isn't excluded.
+
+    Without either all below root is included; without `exclude`, installed packages and the output folder are left out.
+    """
+    config = config or {}
+    include = config.get("include", [] if "files" in config else [f"{root}/**/*"])
+    out_dir = (config.get("compilerOptions") or {}).get("outDir")
+    exclude = config.get("exclude", [f"{root}/**/{n}" for n in ("node_modules", "bower_components", "jspm_packages")] + ([f"{root}/{out_dir}"] if out_dir else []))
+    path = F.col("path")
+    named = path.isin(config.get("files", []))
+    for g in include:
+        taken = path.rlike(glob_pattern(g))
+        for x in exclude:
+            taken = taken & ~path.rlike(glob_pattern(x))
+        named = named | taken
+    return under_root(files.where(named), root)
+
+
 def under_root(files: DataFrame, root: str) -> DataFrame:
     """Files that a configuration adds: only those below root with a script's extension."""
     return files.where(F.col("path").startswith(root) & F.col("path").rlike(r"\.([cm]?[jt]s|[jt]sx)\z"))

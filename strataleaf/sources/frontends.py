@@ -7,6 +7,7 @@ in order inside one Python call, so a later one runs only if the earlier ones fa
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 import tempfile
@@ -32,12 +33,31 @@ def parse_order(ext: str, project_type: str, retry_without_jsx: bool) -> list[st
     return [*first, main[0], *(["without-jsx"] if retry_without_jsx else []), main[1], "safe", "safe-flow", "hermes"]
 
 
-def parser_options(path: str, flow: bool = False) -> dict[str, object]:
-    """What a parser must be told about a file: JSX unless it is TypeScript without, types unless Flow, and declaration files."""
+def parser_options(path: str, flow: bool = False, safe: bool = False, jsx: bool | None = None) -> dict[str, object]:
+    """What a parser must be told about a file, in one of four sets: with TypeScript's or Flow's types, lenient or safe.
+
+    JSX unless the file is TypeScript without, or jsx says otherwise; declaration files are marked. The
+    lenient sets let a file be script or module and allow what is only legal in some place; the safe ones
+    take modules, and allow imports, awaits and returns anywhere.
+    """
     low = path.lower()
     plain_ts = low.endswith((".ts", ".mts", ".cts"))
-    plugins = ["flow" if flow else "typescript", *([] if plain_ts else ["jsx"])]
-    return {"plugins": plugins, "dts": low.endswith((".d.ts", ".d.mts", ".d.cts"))}
+    legacy = ["optionalChaining", "classProperties", "decorators-legacy", "exportDefaultFrom", "doExpressions", "numericSeparator", "dynamicImport"]
+    types: list[str | tuple[str, dict]] = [*legacy, "jsx", ("flow", {"all": True, "enums": True})] if flow else ["typescript"]
+    allowed = ["importExportEverywhere", "awaitOutsideFunction", "returnOutsideFunction", *([] if safe else ["newTargetOutsideFunction", "superOutsideMethod", "undeclaredExports"])]
+    with_jsx = flow or (not plain_ts if jsx is None else jsx)
+    return {
+        "plugins": merge_plugins(types, ["jsx"] if with_jsx else []),
+        "dts": not flow and low.endswith((".d.ts", ".d.mts", ".d.cts")),
+        "sourceType": "module" if safe else "unambiguous",
+        "allow": allowed,
+        "errorRecovery": True,
+    }
+
+
+def retry_without_jsx(path: str, project_type: str | None) -> bool:
+    """Whether code that may be TypeScript, or be no JSX, deserves another try without JSX: `<T>x` reads as a tag with it."""
+    return project_type != "flow" and not path.lower().endswith((".tsx", ".jsx"))
 
 
 def merge_plugins(*groups: Sequence[str | tuple[str, dict]]) -> list[str | tuple[str, dict]]:
@@ -115,7 +135,7 @@ class Command:
     max_output: int = MAX_OUTPUT
 
     def __call__(self, path: str, text: str) -> str:
-        """What the command prints about the text, which it finds in a file of path's name. A nonzero status with output counts as success."""
+        """What the command prints about the text, which it finds in a file of path's name. A nonzero status with output counts as success; of its complaints 2,000 characters are kept."""
         with tempfile.TemporaryDirectory() as folder:
             file = Path(folder) / Path(path).name
             file.write_text(text, encoding="utf-8")
@@ -127,6 +147,33 @@ class Command:
         return done.stdout.decode("utf-8", "replace")
 
 
+@dataclass(frozen=True)
+class Parsers:
+    """One command with many parsers: each file is given to those of parse_order, in order, until one succeeds.
+
+    In argv, {parser} stands for the parser's name and {options} for its options as JSON; without either there is
+    nothing to vary, and the command is tried once.
+    """
+
+    argv: tuple[str, ...]
+    project_type: str | None = None
+    timeout: float | None = None
+
+    def __call__(self, path: str, text: str) -> str:
+        if not any("{parser}" in a or "{options}" in a for a in self.argv):
+            return Command(self.argv, self.timeout)(path, text)
+        ext = path.rpartition(".")[2].lower()
+        chain: list[tuple[str, FrontEnd]] = []
+        for name in dict.fromkeys(parse_order(ext, self.project_type or "", retry_without_jsx(path, self.project_type))):
+            flow = name in ("secondary", "safe-flow")
+            options = json.dumps(parser_options(path, flow, name.startswith("safe"), False if name == "without-jsx" else None))
+            chain.append((name, Command(tuple(a.replace("{parser}", name).replace("{options}", options) for a in self.argv), self.timeout)))
+        result, _, message = first_result(chain, path, text)
+        if result is None:
+            raise ValueError(message)
+        return result
+
+
 def command_on_paths(paths: DataFrame, command: Sequence[str], timeout: float | None = None, max_output: int = MAX_OUTPUT) -> DataFrame:
     """PARSED of paths (path) on a file system that executors share: each file's command output, as a compiler's dump."""
 
@@ -186,3 +233,15 @@ def ensure_compiled(root: Path, env: dict[str, str] | None = None, run: Callable
     except (OSError, subprocess.SubprocessError):
         return False
     return next(root.rglob("*.tasty"), None) is not None
+
+
+def launch(kind: str, arguments: Sequence[str], here: Path, env: dict[str, str] | None = None) -> int:
+    """Run the PHP or Ruby front end with arguments passed on, on this machine's terminal; its status, 1 if there is none."""
+    e = os.environ if env is None else env
+    command = launcher(kind, here, dict(e))
+    if command is None:
+        return 1
+    try:
+        return subprocess.run([*command, *arguments], check=False, timeout=seconds(e.get("STRATALEAF_TIMEOUT")), env=None if env is None else {**os.environ, **env}).returncode
+    except (OSError, subprocess.SubprocessError):
+        return 1

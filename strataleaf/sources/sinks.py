@@ -56,3 +56,21 @@ def snapshot_or_compare(current: DataFrame, path: str, keys: list[str], value: s
         current.write.mode("overwrite").parquet(path)
         return None
     return snapshot_diff(spark.read.parquet(path), current, keys, value)
+
+
+def report_document(results: DataFrame) -> DataFrame:
+    """One row, a report as JSON: {"summary": {total, passed, failed, passRate}, "results": [...]} of results (name, passed, ...), by name."""
+    from strataleaf.operators.relational import summary
+
+    ok = F.col("passed")
+    rate = F.round(ok * 100 / F.greatest(F.col("total"), F.lit(1)), 2)
+    head = summary(results).select(F.to_json(F.struct("total", "passed", "failed", rate.alias("passRate"))).alias("summary"))
+    rest = results.agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", *[c for c in results.columns if c != "name"])))).alias("results"))
+    return head.crossJoin(rest).select(F.concat(F.lit('{"summary":'), "summary", F.lit(',"results":'), "results", F.lit("}")).alias("document"))
+
+
+def report_lines(metrics: DataFrame, title: str) -> DataFrame:
+    """(line_no, line): a report as text over one row of metrics: a title, a rule, and `name: value` of each column."""
+    body = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in metrics.columns])
+    lines = F.concat(F.array(F.lit(title), F.lit("=" * len(title))), body)
+    return metrics.limit(1).select(F.posexplode(lines).alias("line_no", "line"))
