@@ -2,9 +2,9 @@
 
 Templates use the markup of public license lists: <<beginOptional>> ... <<endOptional>> around
 wording that may be left out, <<var;name="...";original="...";match="...">> where wording may be
-replaced; `match` is .{0,n} or .{1,n}, a number of words. A template is compiled into an automaton
-over tokens: mandatory tokens in order, optional regions as jumps, replaceable regions as up to n
-tokens of any kind. A text is accepted if some run of its tokens leads from start to end, so all
+replaced; `match` is .{n,m}, a number of words, or .{n,}, .+ or .*, any number from n, 1 or 0 on. A template is compiled into an automaton
+over tokens: mandatory tokens in order, optional regions as jumps, replaceable regions as so many
+tokens of any kind, those without end as a state that stays. A text is accepted if some run of its tokens leads from start to end, so all
 mandatory wording must be there, exactly and in order. As list guidelines have it, case, white
 space and punctuation don't count, and spelling variants (licence, license) are one.
 """
@@ -12,6 +12,7 @@ space and punctuation don't count, and spelling variants (licence, license) are
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import cache
 
 import pyarrow as pa
@@ -68,7 +69,8 @@ TEMPLATES = {
 }
 
 #: Values of attributes are quoted and may hold any character, > too.
-_MARK = re.compile(r'<<(beginOptional|endOptional|var)(?:"[^"]*"|[^>"])*?(?:match="\.\{(\d+),(\d+)\}")?\s*>>')
+_MARK = re.compile(r'<<(beginOptional|endOptional|var)((?:"[^"]*"|[^>"])*)>>')
+_MATCH = re.compile(r'\bmatch="\.(?:\{(\d+)(,?)(\d*)\}|([+*]))"')
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense"}
 
@@ -86,7 +88,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def parse(template: str) -> list:
-    """A sequence of tokens, of ("any", lo, hi) and of ("optional", sequence). Markup that isn't understood is an error."""
+    """A sequence of tokens, of ("any", lo, hi), hi None for without end, and of ("optional", sequence). Markup that isn't understood is an error."""
     if "<<" in (left := _MARK.sub("", template)):
         raise ValueError(f"not understood: {left[left.index('<<') :][:80]}")
     stack: list[list] = [[]]
@@ -98,9 +100,17 @@ def parse(template: str) -> list:
             stack.append([])
         elif m[1] == "endOptional":
             inner = stack.pop()
+            if not stack:
+                raise ValueError("an optional region ends that didn't begin")
             stack[-1].append(("optional", inner))
+        elif not (n := _MATCH.search(m[2])):
+            raise ValueError(f"not understood: {m[0][:80]}")
+        elif n[4]:
+            stack[-1].append(("any", int(n[4] == "+"), None))
         else:
-            stack[-1].append(("any", int(m[2]), int(m[3])))
+            stack[-1].append(("any", int(n[1]), int(n[3]) if n[3] else None if n[2] else int(n[1])))
+    if len(stack) > 1:
+        raise ValueError("an optional region doesn't end")
     stack[-1] += tokens(template[at:])
     return stack[0]
 
@@ -111,6 +121,7 @@ class Automaton:
     def __init__(self, template: str) -> None:
         self.wants: list[str | None] = []
         self.skip: dict[int, list[int]] = {}
+        self.stays = 0
         self._add(parse(template))
         self.end = len(self.wants)
         self.by_token: dict[str, int] = {}
@@ -124,7 +135,8 @@ class Automaton:
         self.jumping = sum(1 << i for i in self.skip)
         first = [i for i in range(self.end) if self.closed[0] >> i & 1]
         self.first = {self.wants[i] for i in first}
-        assert None not in self.first, "a template must begin with wording"
+        if None in self.first or self.closed[0] >> self.end & 1 or not _mandatory(parse(template)):
+            raise ValueError("a template must begin with wording, and some of its wording must be mandatory")
 
     def _add(self, parts: list) -> None:
         for p in parts:
@@ -134,6 +146,10 @@ class Automaton:
             elif p[0] == "optional":
                 self._add(p[1])
                 self.skip.setdefault(at, []).append(len(self.wants))
+            elif p[2] is None:
+                self.wants += [None] * (p[1] + 1)
+                self.stays |= 1 << at + p[1]
+                self.skip.setdefault(at + p[1], []).append(at + p[1] + 1)
             else:
                 self.wants += [None] * p[2]
                 for i in range(p[1], p[2]):
@@ -152,7 +168,8 @@ class Automaton:
         """The number of tokens of the longest run from `at` that is accepted, or 0."""
         states, found, done = self.closed[0], 0, 1 << self.end
         for n in range(at, len(words)):
-            states = (states & (self.by_token.get(words[n], 0) | self.any)) << 1
+            stay = states & self.stays
+            states = (states & (self.by_token.get(words[n], 0) | self.any)) << 1 | stay
             if not states:
                 break
             jump = states & self.jumping
@@ -165,50 +182,56 @@ class Automaton:
         return found
 
 
-@cache
-def automata() -> dict[str, Automaton]:
-    return {k: Automaton(t) for k, t in TEMPLATES.items()}
+class Scanner:
+    """Automata of templates, by the words that they begin with."""
+
+    def __init__(self, templates: Mapping[str, str]) -> None:
+        self.automata = {k: Automaton(t) for k, t in templates.items()}
+        self.starts: dict[str, list[str]] = {}
+        for k, a in self.automata.items():
+            for w in a.first:
+                self.starts.setdefault(w, []).append(k)
+
+    def matches(self, text: str) -> list[tuple[str, int, int]]:
+        """(license, first token, tokens) of every run that a template accepts; of runs of one license that overlap, the first."""
+        words, out = tokens(text), []
+        free = dict.fromkeys(self.automata, 0)
+        for at, w in enumerate(words):
+            for k in self.starts.get(w, ()):
+                if at >= free[k] and (n := self.automata[k].match(words, at)):
+                    out.append((k, at, n))
+                    free[k] = at + n
+        return out
 
 
 @cache
-def _starts() -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for k, a in automata().items():
-        for w in a.first:
-            out.setdefault(w, []).append(k)
-    return out
+def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(dict(templates))
 
 
 def _mandatory(parts: list) -> list[str]:
     return [p for p in parts if isinstance(p, str)]
 
 
-def anchors() -> list[str]:
+def anchors(templates: Mapping[str, str] = TEMPLATES) -> list[str]:
     """A set of words such that every template has one of them as mandatory wording, in each spelling."""
     out: set[str] = set()
-    for t in TEMPLATES.values():
+    for t in templates.values():
         words = _mandatory(parse(t))
         if not out & set(words):
             out.add(max((w for w in words), key=lambda w: (w in ("license", "licensed"), len(w))))
     return sorted({x for w in out for x in [w, *(k for k, v in _SAME.items() if v == w)]})
 
 
-def matches(text: str) -> list[tuple[str, int, int]]:
-    """(license, first token, tokens) of every run that a template accepts; of runs of one license that overlap, the first."""
-    words, starts, out = tokens(text), _starts(), []
-    free = dict.fromkeys(TEMPLATES, 0)
-    for at, w in enumerate(words):
-        for k in starts.get(w, ()):
-            if at >= free[k] and (n := automata()[k].match(words, at)):
-                out.append((k, at, n))
-                free[k] = at + n
-    return out
+def matches(text: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[str, int, int]]:
+    """What templates accept in a text: see Scanner.matches."""
+    return _scanner(tuple(templates.items())).matches(text)
 
 
-def may_match(text: Column) -> Column:
+def may_match(text: Column, templates: Mapping[str, str] = TEMPLATES) -> Column:
     """False only for texts without any anchor, in which no template can match; runs in the JVM."""
     low, out = F.lower(text), F.lit(False)
-    for a in anchors():
+    for a in anchors(templates):
         out = out | F.contains(low, F.lit(a))
     return F.coalesce(out, F.lit(False))
 
@@ -216,31 +239,53 @@ def may_match(text: Column) -> Column:
 _FOUND = ArrayType(StructType([StructField("license", StringType()), StructField("first_token", IntegerType()), StructField("n_tokens", IntegerType())]))
 
 
-@F.arrow_udf(_FOUND)
-def _scan(text: pa.Array) -> pa.Array:
-    rows = [None if t is None else [{"license": k, "first_token": a, "n_tokens": n} for k, a, n in matches(t)] for t in text.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("license", pa.string()), ("first_token", pa.int32()), ("n_tokens", pa.int32())])))
+def _udf(templates: Mapping[str, str]):
+    given = tuple(templates.items())
 
+    @F.arrow_udf(_FOUND)
+    def scan_texts(text: pa.Array) -> pa.Array:
+        scanner = _scanner(given)
+        rows = [None if t is None else [{"license": k, "first_token": a, "n_tokens": n} for k, a, n in scanner.matches(t)] for t in text.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("license", pa.string()), ("first_token", pa.int32()), ("n_tokens", pa.int32())])))
 
-def scan(docs: DataFrame) -> DataFrame:
+    return scan_texts
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, n_matches, first_token, n_tokens): one row per document and license; the last two of its first match.
 
+    templates: markup by the license's name; markup that isn't understood is an error before any text is read.
     Null and empty texts match nothing; repeated rows have rows each; a null id stays null; an empty
     table gives an empty table. Other columns are ignored.
     """
-    asked = in_small_batches(docs).select("doc_id", "text").where(may_match(F.col("text")))
-    found = asked.select("doc_id", _scan("text").alias("f")).where("size(f) > 0")
+    Scanner(templates)
+    asked = in_small_batches(docs).select("doc_id", "text").where(may_match(F.col("text"), templates))
+    found = asked.select("doc_id", _udf(templates)("text").alias("f")).where("size(f) > 0")
     names = F.array_sort(F.array_distinct(F.col("f.license")))
     each = found.select("doc_id", "f", F.explode(names).alias("license"))
     own = F.filter("f", lambda x: x["license"] == F.col("license"))
     return each.select("doc_id", "license", F.size(own).alias("n_matches"), own[0]["first_token"].alias("first_token"), own[0]["n_tokens"].alias("n_tokens"))
 
 
-def _regex(parts: list) -> str:
-    """A template as a regular expression over ' token token ...': each token with a blank before it."""
-    out = ""
-    for p in parts:
-        out += f" {p}" if isinstance(p, str) else f"(?:{_regex(p[1])})?" if p[0] == "optional" else f"(?: [a-z0-9]+){{{p[1]},{p[2]}}}"
+def _regex(template: str) -> str:
+    """A template as a regular expression over ' token token ...', each token with a blank before it: by rewriting the markup itself, without parse()."""
+    out, rest = "", template
+    while rest:
+        wording, mark, rest = rest.partition("<<")
+        out += "".join(f" {_SAME.get(w, w)}" for w in re.split("[^a-z0-9]+", wording.lower()) if w)
+        if not mark:
+            break
+        quoted = at = 0
+        while quoted or rest[at : at + 2] != ">>":  # the mark ends outside of quotes
+            quoted ^= rest[at] == '"'
+            at += 1
+        inside, rest = rest[:at], rest[at + 2 :]
+        if inside == "beginOptional":
+            out += "(?:"
+        elif inside == "endOptional":
+            out += ")?"
+        else:
+            out += "(?: [a-z0-9]+)" + inside.rpartition('match="')[2].rstrip('"').removeprefix(".")
     return out
 
 
@@ -250,7 +295,7 @@ def sql() -> str:
     for k, v in _SAME.items():
         flat = f"replace({flat}, ' {k} ', ' {v} ')"
     each = "\nUNION ALL ".join(
-        f"SELECT doc_id, '{k}' AS license, regexp_extract_all(t, '({_regex(parse(v))}) ', 1) AS m, regexp_extract(t, '^(.*?){_regex(parse(v))} ', 1) AS pre FROM n" for k, v in TEMPLATES.items()
+        f"SELECT doc_id, '{k}' AS license, regexp_extract_all(t, '({_regex(v)}) ', 1) AS m, regexp_extract(t, '^(.*?){_regex(v)} ', 1) AS pre FROM n" for k, v in TEMPLATES.items()
     )
     return f"""WITH n AS (SELECT doc_id, {flat} AS t FROM documents), f AS ({each})
 SELECT doc_id, license, CAST(len(m) AS INTEGER) AS n_matches, CAST(len(regexp_extract_all(pre, '[a-z0-9]+')) AS INTEGER) AS first_token, CAST(len(regexp_extract_all(m[1], '[a-z0-9]+')) AS INTEGER) AS n_tokens

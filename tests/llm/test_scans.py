@@ -264,3 +264,29 @@ def test_unknown_markup_is_an_error():
     assert L.parse('a <<var;name="x";original="<y> >> z";match=".{0,2}">> b') == ["a", ("any", 0, 2), "b"]
     with pytest.raises(ValueError, match="not understood"):
         L.parse("a <<alt>> b")
+    for bad in ("a <<beginOptional>> b", "a <<endOptional>> b", 'a <<var;name="x";original="y";match="(?i:y|z)">> b'):
+        with pytest.raises(ValueError):
+            L.parse(bad)
+    with pytest.raises(ValueError, match="begin with wording"):
+        L.Scanner({"x": "<<beginOptional>>a<<endOptional>>"})
+
+
+def test_no_markup_is_left_as_wording():
+    for t in L.TEMPLATES.values():
+        words = {w for w in L._regex(t).split() if w.isalnum()} | set(L._mandatory(L.parse(t)))
+        assert not words & {"var", "original", "match", "beginoptional", "endoptional"}
+
+
+def test_regions_without_end():
+    own = {"X": 'Used by <<var;name="who";original="me";match=".+">> under terms <<var;name="n";original="";match=".{2,}">> end', "Y": 'Made <<var;name="n";original="";match=".*">> here'}
+    assert L.matches("used by some people or other under terms one two three end of it", own) == [("X", 0, 12)]
+    assert L.matches("used by under terms one two end", own) == [] and L.matches("used by me under terms one end", own) == []
+    assert L.matches("made here, made and kept here", own) == [("Y", 0, 6)]
+
+
+def test_templates_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "This is under the Quux licence, v2."), (2, "MIT License")], "doc_id long, text string")
+    own = {"Quux": 'under the Quux License, <<var;name="v";original="v1";match=".{1,1}">>'}
+    assert [tuple(r) for r in L.scan(docs, own).collect()] == [(1, "Quux", 1, 2, 5)]
+    with pytest.raises(ValueError):
+        L.scan(docs, {"bad": "a <<b>> c"})
