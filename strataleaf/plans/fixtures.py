@@ -257,3 +257,5 @@ def typed_rules() -> tuple[str, list[tuple[str, int, str]]]:
 
 
 RULES_TREE, RULES = typed_rules()
+#: The routes and slices above as one document.
+SLICES_DOCUMENT = '{"config":{"routes":[{"method":"GET","pattern":"/a","controllerMethod":"controllers.A.x"},{"method":"get","pattern":"/a","controllerMethod":"controllers.A.x"},{"method":"GET","pattern":"/adm","controllerMethod":"admin.Routes"},{"method":"PATCH","pattern":"/adm","controllerMethod":"admin.Routes"},{"method":"POST","pattern":"/adm","controllerMethod":"admin.Routes"},{"method":"DELETE","pattern":"/adm","controllerMethod":"admin.Routes"},{"method":"PUT","pattern":"/adm","controllerMethod":"admin.Routes"},{"method":"PUT","pattern":"/b","controllerMethod":"B.c"},{"method":"POST","pattern":"/c","controllerMethod":"C.d"},{"method":"DELETE","pattern":"/only"},{"method":"DELETE","pattern":"/only"},{"method":"OPTIONS","pattern":"/o","controllerMethod":"O.p"},{"method":"HEAD","pattern":"/h","controllerMethod":"H"}]},"app/N.scala":{"sourceFile":"app/N.scala","tags":[],"usedTypes":[],"literals":["nothing"]},"app/controllers/A.scala":{"sourceFile":"app/controllers/A.scala","tags":["framework-input","framework-output"],"usedTypes":["play.twirl.api.Html"],"literals":["late","other","1 [app/controllers/A.scala]"]},"target/scala-3/x/routes.scala":{"sourceFile":"target/scala-3/x/routes.scala","tags":["framework-route","generated"],"usedTypes":["router.RoutesPrefix"],"literals":["ab"]}}'

@@ -18,7 +18,7 @@ from strataleaf.operators import syntactic_types, tree, typemap
 from strataleaf.operators.ejs import transformed
 from strataleaf.plans import duck as D
 from strataleaf.plans import fixtures as X
-from strataleaf.sources import frontends, sinks
+from strataleaf.sources import files, frontends, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,6 +492,66 @@ def syntactic_rules(spark, sf_dir):
     return asked.join(found, "offset", "left").select("rule", F.col("offset").alias("position"), "type")
 
 
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM l)
+SELECT doc_id::VARCHAR AS relative_name, 'File' AS type, 0 AS depth, 1::BIGINT AS n, 0::BIGINT AS places FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id::VARCHAR, 'Line', 1, count(*), sum(i) FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) - 1 AS i FROM w) GROUP BY doc_id
+UNION ALL SELECT doc_id::VARCHAR, 'Word', 2, sum(len(ws)), sum(len(ws) * (len(ws) - 1) // 2)::BIGINT FROM w GROUP BY doc_id HAVING sum(len(ws)) > 0"""
+)
+def json_walk_deep(spark, sf_dir):
+    """TREE-1, AGG-1: trees of many nodes, a document's lines and their words, by type and depth; places: the sum of ordinals."""
+    word = lambda w: F.struct(F.lit("Word").alias("type"), w.alias("text"))
+    line = lambda x, i: F.struct(F.lit("Line").alias("type"), F.struct(i.alias("line")).alias("loc"), F.transform(F.filter(F.split(x, " ", -1), lambda w: w != ""), word).alias("words"))
+    docs = _t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    trees = docs.select(F.col("doc_id").cast("string").alias("relative_name"), F.to_json(F.struct(F.lit("File").alias("type"), F.transform(F.split("text", "\n", -1), line).alias("body"))).alias("ast_json"))
+    return tree.nodes(trees).groupBy("relative_name", "type", "depth").agg(F.count("*").alias("n"), F.sum("ordinal").cast("long").alias("places"))
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages)
+SELECT page_id, regexp_matches(path, '\.([cm]?[jt]s|[jt]sx|vue|svelte|ejs|xsjs|xsjslib)$') AND path NOT LIKE '%node_modules%' AS scanned, regexp_matches(path, '\.([cm]?js|[jt]sx|ts|vue)$') AS fixture FROM p"""
+)
+def path_filters(spark, sf_dir):
+    """FLT-3, FLT-16: which files are scanned, and which a fixture holds."""
+    p = F.col("path")
+    return _page_paths(spark, sf_dir).select("page_id", paths.is_source(p).alias("scanned"), p.rlike(paths.FIXTURE).alias("fixture"))
+
+
+@query(rf"WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages) SELECT page_id, path FROM p WHERE starts_with(path, 'https://') AND regexp_matches(path, '\.([cm]?[jt]s|[jt]sx)$')")
+def configured_under_root(spark, sf_dir):
+    """FLT-4, SRC-8: of all files those below a root that a configuration without lists includes."""
+    return files.under_root(_page_paths(spark, sf_dir), "https://")
+
+
+@query("""SELECT page_id::VARCHAR AS relative_name, '{"fullName":' || to_json(url) || ',"relativeName":"' || page_id || '","ast":{"type":"File","end":' || length(html) || '}}' AS document FROM pages""")
+def ast_documents(spark, sf_dir):
+    """SNK-1: trees in their wrapper."""
+    ast = F.concat(F.lit('{"type":"File","end":'), F.length("html").cast("string"), F.lit("}"))
+    return sinks.ast_documents(_t(spark, sf_dir, "pages").select(F.col("url").alias("full_name"), F.col("page_id").cast("string").alias("relative_name"), ast.alias("ast_json")))
+
+
+@query("SELECT c_custkey::VARCHAR AS path, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'checked' ELSE 'from syntax' END AS type FROM customer")
+def types_with_fallback(spark, sf_dir):
+    """FB-3: files for which the checker has nothing get types from syntax alone; customers without orders stand for them."""
+    every = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"))
+    first = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path")).distinct().join(every, "path", "left_semi").withColumn("type", F.lit("checked"))
+    return frontends.types_with_fallback(first, lambda missing: missing.withColumn("type", F.lit("from syntax")), every)
+
+
+@query("SELECT * FROM (VALUES ('a.ts', 'ts', 5, 'let a'), ('é.js', 'js', 3, 'é;')) AS t(path, ext, length, content)")
+def snippets(spark, sf_dir):
+    """SRC-15: code held in memory as files (authored)."""
+    return files.snippets(spark, {"a.ts": "let a", "é.js": "é;"}).select("path", "ext", F.col("length").cast("int").alias("length"), "content")
+
+
+@query("SELECT unnest([0, 1, 2, 3]) AS line_no, unnest(['Orders', '======', 'total: ' || count(*), 'open: ' || count_if(o_orderstatus = 'O')]) AS line FROM orders")
+def report_lines(spark, sf_dir):
+    """SNK-7: a report as text."""
+    metrics = _t(spark, sf_dir, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    return sinks.report_lines(metrics, "Orders").select(F.col("line_no").cast("int").alias("line_no"), "line")
+
+
 @query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey")
 def first_declaration(spark, sf_dir):
     """JOIN-2: each use with the first of its declarations; a customer's first order stands for it."""
@@ -508,9 +568,9 @@ def typemap_documents(spark, sf_dir):
     return sinks.typemap_documents(_typemap(spark))
 
 
-@query()
+@query(f"SELECT * FROM {D.values([(X.SLICES_DOCUMENT,)], 'document')}")
 def slices_document(spark, sf_dir):
-    """SNK-3: slices and routes as one document (authored). tests hold it against a known answer."""
+    """SNK-3: slices and routes as one document (authored; the oracle is a known answer)."""
     found = S.slices(R.file_lines(_dumps(spark).select("dump", "content"))).join(_dumps(spark).select("dump", "file_ord"), "dump")
     last = R.last_writer(found.withColumn("source_file", F.coalesce("source_file", paths.slice_key(F.col("dump")))), "source_file", ["file_ord"], ["tags", "used_types", "literals"])
     return sinks.slices_document(last, _routes(spark))

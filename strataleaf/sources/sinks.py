@@ -24,7 +24,9 @@ def typemap_documents(typemap: DataFrame) -> DataFrame:
 
 def slices_document(slices: DataFrame, routes: DataFrame) -> DataFrame:
     """One row: {"config": {"routes": [...]}, "<source file>": {...}}. A source file named config keeps its own key beside it."""
-    r = routes.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("file_ord", "line_no", "part", "method", "pattern", F.col("controller_method").alias("controllerMethod")))).alias("routes"))).alias("config"))
+    ordered = F.sort_array(F.collect_list(F.struct("file_ord", "line_no", "part", "method", "pattern", F.col("controller_method").alias("controllerMethod"))))
+    told = F.transform(ordered, lambda x: F.struct(x["method"].alias("method"), x["pattern"].alias("pattern"), x["controllerMethod"].alias("controllerMethod")))
+    r = routes.agg(F.to_json(F.struct(told.alias("routes"))).alias("config"))
     body = F.to_json(F.struct(F.col("source_file").alias("sourceFile"), "tags", F.col("used_types").alias("usedTypes"), "literals"))
     one = slices.where("source_file IS NOT NULL").select(F.concat(F.to_json(F.array("source_file")), F.lit("")).alias("k"), body.alias("v"))
     key = F.substring(F.col("k"), 2, F.length("k") - 2)
