@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataleaf.llm import minhash_dedup, mixing, packing, quality_divergence, secret_scan
-from strataleaf.llm.common import table, written
+from strataleaf.llm.common import last_one_left, made, spent, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,8 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet to the shared folder and read again as the next one's input.
+
+    What a stage leaves in that folder besides its result is deleted once the result is written, and the result once the
+    next stage's is; what the last stage needs stays, for its rows are made when they are asked for.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        since = made()
+        docs = last_one_left(written(stage(spark, docs, sf_dir), name), since)
+        if before is not None:
+            spent(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,9 +45,28 @@ def written(df: DataFrame, tag: str, also: Column | None = None) -> DataFrame:
     df.observe(seen, F.count(F.lit(1)).alias("rows"), (F.max(F.lit(0)) if also is None else also).alias("also")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sl_path, out._sl_seen = path, seen.get
+    _made.append(path)
     return out
 
 
+#: The scratch tables that this process has written.
+_made: list[str] = []
+
+
+def last_one_left(df: DataFrame, since: int) -> DataFrame:
+    """df, a table that written() returned, with all scratch tables deleted that were made after the first `since` of made() but df's own."""
+    for path in _made[since:]:
+        if path != df._sl_path:
+            _delete(df.sparkSession, path)
+    _made[since:] = [df._sl_path]
+    return df
+
+
+def made() -> int:
+    """How many scratch tables this process has written and not yet swept up."""
+    return len(_made)
+
+
 def spent(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that written() returned; nothing that still needs it may be computed later."""
     _delete(df.sparkSession, df._sl_path)
