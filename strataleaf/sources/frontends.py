@@ -33,22 +33,29 @@ def parse_order(ext: str, project_type: str, retry_without_jsx: bool) -> list[st
     return [*first, main[0], *(["without-jsx"] if retry_without_jsx else []), main[1], "safe", "safe-flow", "hermes"]
 
 
-def parser_options(path: str, flow: bool = False, safe: bool = False, jsx: bool | None = None) -> dict[str, object]:
-    """What a parser must be told about a file, in one of four sets: with TypeScript's or Flow's types, lenient or safe.
+def parser_options(path: str, flow: bool = False) -> dict[str, object]:
+    """What a parser must be told about a file: JSX unless it is TypeScript without, types unless Flow, and declaration files."""
+    low = path.lower()
+    plain_ts = low.endswith((".ts", ".mts", ".cts"))
+    plugins = ["flow" if flow else "typescript", *([] if plain_ts else ["jsx"])]
+    return {"plugins": plugins, "dts": low.endswith((".d.ts", ".d.mts", ".d.cts"))}
+
+
+def option_set(path: str, flow: bool = False, safe: bool = False, jsx: bool | None = None) -> dict[str, object]:
+    """All that a parser is told about a file, in one of four sets: with TypeScript's or Flow's types, lenient or safe.
 
     JSX unless the file is TypeScript without, or jsx says otherwise; declaration files are marked. The
     lenient sets let a file be script or module and allow what is only legal in some place; the safe ones
     take modules, and allow imports, awaits and returns anywhere.
     """
-    low = path.lower()
-    plain_ts = low.endswith((".ts", ".mts", ".cts"))
+    own = parser_options(path)
     legacy = ["optionalChaining", "classProperties", "decorators-legacy", "exportDefaultFrom", "doExpressions", "numericSeparator", "dynamicImport"]
     types: list[str | tuple[str, dict]] = [*legacy, "jsx", ("flow", {"all": True, "enums": True})] if flow else ["typescript"]
     allowed = ["importExportEverywhere", "awaitOutsideFunction", "returnOutsideFunction", *([] if safe else ["newTargetOutsideFunction", "superOutsideMethod", "undeclaredExports"])]
-    with_jsx = flow or (not plain_ts if jsx is None else jsx)
+    with_jsx = flow or ("jsx" in own["plugins"] if jsx is None else jsx)
     return {
         "plugins": merge_plugins(types, ["jsx"] if with_jsx else []),
-        "dts": not flow and low.endswith((".d.ts", ".d.mts", ".d.cts")),
+        "dts": not flow and own["dts"],
         "sourceType": "module" if safe else "unambiguous",
         "allow": allowed,
         "errorRecovery": True,
@@ -166,7 +173,7 @@ class Parsers:
         chain: list[tuple[str, FrontEnd]] = []
         for name in dict.fromkeys(parse_order(ext, self.project_type or "", retry_without_jsx(path, self.project_type))):
             flow = name in ("secondary", "safe-flow")
-            options = json.dumps(parser_options(path, flow, name.startswith("safe"), False if name == "without-jsx" else None))
+            options = json.dumps(option_set(path, flow, name.startswith("safe"), False if name == "without-jsx" else None))
             chain.append((name, Command(tuple(a.replace("{parser}", name).replace("{options}", options) for a in self.argv), self.timeout)))
         result, _, message = first_result(chain, path, text)
         if result is None:

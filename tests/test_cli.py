@@ -73,10 +73,10 @@ def test_other_languages_are_launched(tmp_path, monkeypatch):
 
 
 def test_option_sets():
-    assert frontends.parser_options("a.ts") == {"plugins": ["typescript"], "dts": False, "sourceType": "unambiguous", "allow": ["importExportEverywhere", "awaitOutsideFunction", "returnOutsideFunction", "newTargetOutsideFunction", "superOutsideMethod", "undeclaredExports"], "errorRecovery": True}
-    assert frontends.parser_options("a.d.ts")["dts"] and not frontends.parser_options("a.js")["dts"]
-    assert frontends.parser_options("a.js")["plugins"] == ["typescript", "jsx"] and frontends.parser_options("a.js", jsx=False)["plugins"] == ["typescript"]
-    safe = frontends.parser_options("a.ts", flow=True, safe=True)
+    assert frontends.option_set("a.ts") == {"plugins": ["typescript"], "dts": False, "sourceType": "unambiguous", "allow": ["importExportEverywhere", "awaitOutsideFunction", "returnOutsideFunction", "newTargetOutsideFunction", "superOutsideMethod", "undeclaredExports"], "errorRecovery": True}
+    assert frontends.option_set("a.d.ts")["dts"] and not frontends.option_set("a.js")["dts"]
+    assert frontends.option_set("a.js")["plugins"] == ["typescript", "jsx"] and frontends.option_set("a.js", jsx=False)["plugins"] == ["typescript"]
+    safe = frontends.option_set("a.ts", flow=True, safe=True)
     assert safe["sourceType"] == "module" and "jsx" in safe["plugins"] and safe["plugins"][-1][0] == "flow" and len(safe["allow"]) == 3
 
 
