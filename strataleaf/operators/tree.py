@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,30 +15,57 @@ _ARROW = pa.schema(
     [("relative_name", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("edge", pa.string()), ("ordinal", pa.int32())]
     + [("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))]
 )
-#: Nodes that are sent back at a time.
+_TALLY = pa.schema([("relative_name", pa.string()), ("type", pa.string()), ("depth", pa.int32()), ("n", pa.int64()), ("places", pa.int64())])
+#: Rows that are sent back at a time.
 _ROWS = 20_000
 _SKIPPED = frozenset(("loc", "start", "end"))
+_OWN = _SKIPPED | {"type"}
+#: Per type and depth the nodes of a document, and the sum of their ordinals.
+TALLY = "relative_name string, type string, depth int, n bigint, places bigint"
 
 
-def walk(tree: object) -> Iterator[dict]:
-    """The nodes of a tree in preorder: objects with a string `type`. Arrays are passed through, positions skipped.
+def visits(tree: object) -> Iterator[tuple[int, int | None, int, str, int, dict]]:
+    """The nodes of a tree in preorder: objects with a string `type`. Arrays are passed through, positions skipped. Of each
+    its number, parent, depth, edge, ordinal and object.
 
     Works on a stack, so depth has no limit but memory.
     """
-    stack: list[tuple[object, int | None, int, str, int]] = [(tree, None, 0, "", 0)]
     n = 0
+    stack: list[tuple[Iterator[tuple[str, int, object]], int | None, int]] = [(iter([("", 0, tree)]), None, 0)]
     while stack:
-        value, parent, depth, edge, ordinal = stack.pop()
-        if isinstance(value, list):
-            stack += [(v, parent, depth, edge, i) for i, v in reversed(list(enumerate(value)))]
-        elif isinstance(value, dict):
-            here, below = parent, depth
-            if isinstance(value.get("type"), str):
-                here, below = n, depth + 1
-                plain = {k: v if isinstance(v, str) else json.dumps(v) for k, v in value.items() if k not in _SKIPPED and k != "type" and not isinstance(v, (dict, list))}
-                yield {"node_id": n, "parent_id": parent, "depth": depth, "edge": edge, "ordinal": ordinal, "type": value["type"], "start": _int(value.get("start")), "end": _int(value.get("end")), "attrs": list(plain.items())}
-                n += 1
-            stack += [(v, here, below, k, 0) for k, v in reversed(list(value.items())) if k not in _SKIPPED]
+        beside, parent, depth = stack[-1]
+        for edge, ordinal, v in beside:
+            if isinstance(v, list):
+                stack.append((zip(repeat(edge), count(), v), parent, depth))
+                break
+            if isinstance(v, dict):
+                here, below = parent, depth
+                if isinstance(v.get("type"), str):
+                    here, below = n, depth + 1
+                    yield n, parent, depth, edge, ordinal, v
+                    n += 1
+                if inside := [(k, 0, x) for k, x in v.items() if isinstance(x, (dict, list)) and k not in _SKIPPED]:
+                    stack.append((iter(inside), here, below))
+                    break
+        else:
+            stack.pop()
+
+
+def walk(tree: object) -> Iterator[dict]:
+    """The nodes of a tree, as visits() finds them, with their own values."""
+    for n, parent, depth, edge, ordinal, v in visits(tree):
+        keys: list[str] = []
+        texts: list[str] = []
+        _plain(v, keys, texts)
+        yield {"node_id": n, "parent_id": parent, "depth": depth, "edge": edge, "ordinal": ordinal, "type": v["type"], "start": _int(v.get("start")), "end": _int(v.get("end")), "attrs": list(zip(keys, texts, strict=True))}
+
+
+def _plain(node: dict, keys: list[str], texts: list[str]) -> None:
+    """Put a node's own values, as texts, at the end of two lists."""
+    for k, v in node.items():
+        if k not in _OWN and not isinstance(v, (dict, list)):
+            keys.append(k)
+            texts.append(v if isinstance(v, str) else str(v) if type(v) is int else json.dumps(v))
 
 
 def _int(v: object) -> int | None:
@@ -50,23 +78,131 @@ def nodes(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows: list[tuple] = []
+            for name, text in _texts(batch):
                 try:
-                    found = walk(json.loads(text)) if text is not None else ()
+                    found = visits(json.loads(text))
                 except (ValueError, RecursionError):
                     continue
-                for n in found:
-                    rows.append({"relative_name": name, **n})
+                for node in found:
+                    rows.append((name, *node))
                     if len(rows) > _ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        yield _node_batch(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                yield _node_batch(rows)
 
     return documents.select("relative_name", F.col(json_col).alias("json")).mapInArrow(flatten, NODES)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str]]:
+    """Names and texts of a batch, without null texts; one at a time, for texts may be long."""
+    for name, text in zip(batch.column(0), batch.column(1), strict=True):
+        if text.is_valid:
+            yield name.as_py(), text.as_py()
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of NODES, from names and visits."""
+    *columns, values = zip(*rows, strict=True)
+    keys: list[str] = []
+    texts: list[str] = []
+    ends = [0]
+    for v in values:
+        _plain(v, keys, texts)
+        ends.append(len(keys))
+    columns += [[v["type"] for v in values], [_int(v.get("start")) for v in values], [_int(v.get("end")) for v in values]]
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=False)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.MapArray.from_arrays(ends, pa.array(keys, pa.string()), pa.array(texts, pa.string()))], schema=_ARROW)
+
+
+class _Leaf:
+    """A node without anything below, in a tree that is read to be counted; those of a type are one object."""
+
+    __slots__ = ("type",)
+
+    def __init__(self, type: str) -> None:
+        self.type = type
+
+
+_HELD = frozenset((dict, list, _Leaf))
+
+
+def _read_to_count(text: str) -> object:
+    """The tree of a text, its leaves as _Leaf and other objects that hold nothing as None: what is below the nodes is dropped
+    while the text is read, so that of most nodes no object is kept."""
+    leaves: dict[str, _Leaf] = {}
+
+    def closed(v: dict) -> dict | _Leaf | None:
+        for x in v.values():
+            if type(x) in _HELD:
+                return v
+        t = v.get("type")
+        return (leaves.get(t) or leaves.setdefault(t, _Leaf(t))) if type(t) is str else None
+
+    try:
+        return json.loads(text, object_hook=closed)
+    except RecursionError:  # the calls need room of their own
+        return json.loads(text)
+
+
+def tally(tree: object) -> dict[tuple[str, int], list[int]]:
+    """By type and depth how many nodes visits() finds in a tree that was read from JSON, and the sum of their ordinals. It may
+    have _Leaf in it; a list of one kind of them is counted at once."""
+    out: dict[tuple[str, int], list[int]] = {}
+    stack: list[tuple[list, int]] = [([tree], 0)]  # values with their ordinals as places in a list, and depth
+    while stack:
+        beside, depth = stack.pop()
+        first, many = beside[0] if beside else None, len(beside)
+        if isinstance(first, _Leaf) and beside.count(first) == many:
+            found = out.setdefault((first.type, depth), [0, 0])
+            found[0] += many
+            found[1] += many * (many - 1) // 2
+            continue
+        for ordinal, v in enumerate(beside):
+            kind = type(v)
+            if kind is list:
+                stack.append((v, depth))
+            elif kind in _HELD:
+                t = v.type if kind is _Leaf else v.get("type")
+                named = isinstance(t, str)
+                if named:
+                    found = out.setdefault((t, depth), [0, 0])
+                    found[0] += 1
+                    found[1] += ordinal
+                if kind is dict:
+                    stack += [(x if type(x) is list else [x], depth + named) for k, x in v.items() if type(x) in _HELD and k not in _SKIPPED]
+    return out
+
+
+def tallies(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
+    """TALLY of documents: what nodes() has, grouped by name, type and depth, without a row for each node. Documents are counted
+    where they are read, so that what leaves Python grows with the kinds of nodes, not with the nodes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, text in _texts(batch):
+                try:
+                    found = tally(_read_to_count(text))
+                except (ValueError, RecursionError):
+                    continue
+                for (t, depth), (n, places) in found.items():
+                    rows.append((name, t, depth, n, places))
+                    if len(rows) > _ROWS:
+                        yield _arrow(rows, _TALLY)
+                        rows = []
+            if rows:
+                yield _arrow(rows, _TALLY)
+
+    each = documents.select("relative_name", F.col(json_col).alias("json")).mapInArrow(counted, TALLY)
+    return each.groupBy("relative_name", "type", "depth").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+
+
 def malformed(documents: DataFrame, json_col: str = "ast_json") -> DataFrame:
     """(path, stage, message) of the documents whose tree can't be read, by the reader that nodes() uses."""
 

@@ -68,6 +68,54 @@ def test_walk_total_is_sum_of_histogram(spark):
     assert [(r.path, r.stage) for r in tree.malformed(docs).collect()] == [("b", "tree")]
 
 
+def _some_tree(r, deep=0):
+    """JSON of any shape: objects without types, types that aren't strings, positions, repeated keys, arrays in arrays."""
+    kind = r.random()
+    if deep > 5 or kind < 0.25:
+        return r.choice(["null", "1", "0.5", "true", '"x"', "[]", "{}", '{"type":"Leaf"}', '{"type":"Leaf","text":"é \\" }"}', '{"type":"Other","n":1}', '{"line":3}'])
+    if kind < 0.5:
+        return "[" + ",".join([_some_tree(r, deep + 1) for _ in range(r.randint(0, 5))]) + "]"
+    if kind < 0.6:
+        return "[" + ",".join([r.choice(['{"type":"Leaf"}', '{"type":"Other","v":null}'])] * r.randint(0, 9)) + "]"
+    keys = r.choices(["type", "loc", "start", "end", "body", "x", "x"], k=r.randint(0, 6))
+    value = lambda k: r.choice(['"A"', '"Leaf"', '"B"', "7", '{"type":"T"}', '""']) if k == "type" else _some_tree(r, deep + 1)
+    return "{" + ",".join(f'"{k}":{value(k)}' for k in keys) + "}"
+
+
+def test_tallies_are_nodes_grouped(spark):
+    r = random.Random(5)
+    docs = [(f"d{i % 150}", _some_tree(r)) for i in range(200)] + [("null", None), ("bad", "{"), ("too deep", "[" * 200_000), (None, '{"type":"A"}'), ("scalar", "3")]
+    df = spark.createDataFrame(docs, "relative_name string, ast_json string").repartition(3)
+    want = tree.nodes(df).groupBy("relative_name", "type", "depth").agg(F.count("*").alias("n"), F.sum("ordinal").alias("places"))
+    got = tree.tallies(df)
+    assert got.schema.simpleString() == "struct<relative_name:string,type:string,depth:int,n:bigint,places:bigint>"
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 200
+
+
+def test_tally_reads_as_deep_as_the_reader():
+    nested = lambda n: '{"type":"N","c":' * n + "null" + "}" * n
+    low, high = 1, 200_000
+    while high - low > 1:
+        mid = (low + high) // 2
+        try:
+            json.loads(nested(mid))
+            low = mid
+        except RecursionError:
+            high = mid
+    for n in range(max(1, low - 5), low):
+        assert len(tree.tally(tree._read_to_count(nested(n)))) == n
+
+
+def test_nodes_are_the_walk(spark):
+    r = random.Random(6)
+    docs = {f"d{i}": _some_tree(r) for i in range(100)} | {"wide": json.dumps({"type": "File", "c": [{"type": "W", "start": i, "s": "é", "f": 0.5, "none": None} for i in range(50_001)]})}
+    got = {}
+    for x in tree.nodes(spark.createDataFrame([*docs.items()], "relative_name string, ast_json string")).collect():
+        got.setdefault(x.relative_name, []).append({k: v for k, v in x.asDict().items() if k != "relative_name"})
+    want = {k: [n | {"attrs": dict(n["attrs"])} for n in tree.walk(json.loads(v))] for k, v in docs.items()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_enclosing_functions_and_callees(spark):
     doc = {"type": "FunctionDeclaration", "body": {"type": "Block", "c": [{"type": "ReturnStatement"}, {"type": "ArrowFunctionExpression", "b": {"type": "ReturnStatement"}}]}}
     assert tree.enclosing_function(doc) == {0: None, 1: 0, 2: 0, 3: 0, 4: 3}

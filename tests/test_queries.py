@@ -39,6 +39,27 @@ def test_slices_document(spark):
     assert doc["app/controllers/A.scala"] == {"sourceFile": "app/controllers/A.scala", "tags": ["framework-input", "framework-output"], "usedTypes": ["play.twirl.api.Html"], "literals": ["late", "other", "1 [app/controllers/A.scala]"]}
 
 
+def test_deep_trees_leave_python_counted(spark, monkeypatch):
+    """What Python sends back grows with the kinds of nodes, not with the nodes."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, plain = Observation(), DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *a, **k: plain(*a, **k).observe(sent, F.count(F.lit(1)).alias("rows")))
+    found = Q.QUERIES["json_walk_deep"](spark, SF).collect()
+    assert sent.get["rows"] == len(found) < sum(r.n for r in found) / 50
+
+
+def test_deep_trees_of_odd_texts(spark, duck, tmp_path):
+    texts = ["", " ", "\n", "  a  b ", '"q" \\ \\n \\" {"type":"Word"},\n\ttab\u00a0nbsp \u2028x\r\n', "\U0001f600 é\x01\x1f", None, "x" * 3 + "\n" * 40, "[a, b] {c: d}"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sql = Q.ORACLES["json_walk_deep"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(sql)
+    df = Q.QUERIES["json_walk_deep"](spark, str(tmp_path))
+    assert compared(df.columns, df.collect()) == compared([d[0] for d in want.description], want.fetchall())
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
